@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvlog.llm import line_dedup, quality_rules
+from kvlog.llm import decontamination, line_dedup, pieces, quality_rules
 from kvlog.llm.shared import staged, table
 
 
@@ -18,7 +18,17 @@ def common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return line_dedup.drop_common_lines(docs).select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", common_lines)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids and the scores of the n best segmentations, with the text that decoding gives back."""
+    return pieces.decode_pieces(pieces.encode_nbest(docs))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", common_lines), ("decontamination", decontaminate), ("sentencepiece", encode)]
 
 #: SQL has no zstandard, edit distance or piece lattice.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlog.llm import line_dedup, quality_rules
+from kvlog.llm import decontamination, line_dedup, pieces, quality_rules
 from kvlog.llm.shared import table
 
 
@@ -17,6 +17,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item found in it; documents without one have none."""
+    docs = table(spark, sf_dir, "documents")
+    return decontamination.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decode_pieces(pieces.encode_nbest(docs, n=4))
+    return out.select("doc_id", "n_pieces", "scores", "ids", "alternatives", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).drop("text")
@@ -24,6 +36,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
 }
 
