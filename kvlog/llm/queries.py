@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlog.llm import chat_tree, decontamination, line_dedup, pieces, quality_rules, warc
+from kvlog.llm import chat_tree, decontamination, line_dedup, ngram_join, pieces, quality_rules, warc
 from kvlog.llm.shared import table
 
 
@@ -17,6 +17,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read_archives(manifest).drop("url", "payload")
@@ -51,6 +55,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op6_warc": op6_warc,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
