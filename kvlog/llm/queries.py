@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlog.llm import chat_tree, decontamination, line_dedup, ngram_join, pieces, quality_rules, warc
+from kvlog.llm import chat_tree, decontamination, line_dedup, ngram_join, pieces, quality_rules, suffix_dedup, warc
 from kvlog.llm.shared import table
 
 
@@ -21,6 +21,12 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.remove_repeats(docs, length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept_bytes"), 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read_archives(manifest).drop("url", "payload")
@@ -34,7 +40,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.decode_pieces(pieces.encode_nbest(docs, n=4))
+    out = pieces.encode_nbest(docs, n=4, decoded="decoded")
     return out.select("doc_id", "n_pieces", "scores", "ids", "alternatives", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
@@ -56,6 +62,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_warc": op6_warc,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
