@@ -106,12 +106,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix(h + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and the index of each text's first word (one more entry at the end)."""
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words between bytes of `space`, and the index of each text's first word (one more entry at the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    ink = ~SPACE[data]
+    ink = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     first, last = ink.copy(), ink.copy()
