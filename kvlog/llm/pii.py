@@ -11,8 +11,8 @@ along the links by loopy belief propagation, so "(988) 555-2485" is found where
 "+1 (988) 555-2485" stands elsewhere in the document. A word whose belief in a kind
 reaches ``SURE`` becomes a span; neighbours of one kind make one span.
 
-The field is trained on base spans as labels, by pseudo-likelihood, on the
-documents with nodes that come first by hash, ``SAMPLE`` at most; applied to all.
+The field is trained on base spans as labels, which words that repeat them share,
+by pseudo-likelihood, on the documents with nodes that come first by hash, ``SAMPLE`` at most; applied to all.
 
 Defined cases: null text has no spans; places are code points, ends exclusive;
 repeated rows are judged one by one; an empty table trains nothing and returns
@@ -146,6 +146,9 @@ class Field:
         y = np.concatenate([g.labels for g in graphs])
         chain = np.concatenate([g.chain + b for g, b in zip(graphs, base, strict=False)])
         skip = np.concatenate([g.skip + b for g, b in zip(graphs, base, strict=False)])
+        for a, b in (*skip, *skip[::-1, ::-1]):  # what repeats a base span is no example of nothing
+            if y[a] > 0 and y[b] == 0:
+                y[b] = y[a]
         target = np.eye(n)[y]
         steps = [np.full(w.shape, 1e-3) for w in (self.unary, self.chain, self.skip)]
         prior = self.skip.copy()
