@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -48,3 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_schema(spark: SparkSession, schema: StructType) -> pa.Schema:
     """The Arrow schema that mapInArrow has to return for a Spark schema."""
     return to_arrow_schema(schema, timestamp_utc=True, prefers_large_types=False)
+
+
+def hashed_lowest(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """At most n rows, those whose columns `by` hash lowest.
+
+    Rows beyond a bound that leaves some more than n are passed over where they
+    are read, so what meets in the last task doesn't grow with the table.
+    """
+    rows = df.count()
+    key = F.xxhash64(*by)
+    bound = -(1 << 63) + int(min(1.0, (1.5 * n + 100) / max(1, rows)) * ((1 << 64) - 1))
+    return df.where(key <= F.lit(min(bound, (1 << 63) - 1))).orderBy(key, *by).limit(n)

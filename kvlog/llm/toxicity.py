@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvlog.llm import kernels
-from kvlog.llm.shared import arrow_schema, without
+from kvlog.llm.shared import arrow_schema, hashed_lowest, without
 
 #: Chain order: what low quality a text has helps to tell what is toxic in it.
 CATEGORIES = ("quality", "toxic")
@@ -148,7 +148,7 @@ def _rows(slots: np.ndarray, ends: np.ndarray, on: np.ndarray) -> tuple[np.ndarr
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
     """A chain fitted on the sample."""
     one = labels.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.max(c).cast("double").alias(c) for c in categories))
-    chosen = one.orderBy(F.xxhash64(key), key).limit(sample)
+    chosen = hashed_lowest(one, sample, key)
     rows = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(chosen), key).select("__text", F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(FOLDS)).cast("int").alias("fold"), F.array(*categories).alias("labels"))
 
     def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
