@@ -12,8 +12,8 @@ r"""Line dedup with a sharded minimal perfect hash.
    and the doc id, no line text), dealt over as many salted copies of the shard
    as the number of probes asks for. Hits come back as one short list for each
    document that loses lines; no lines are joined.
-4. The texts are joined with their lists and rewritten. Whether that join
-   broadcasts the lists is left to Spark, which knows their size.
+4. The texts are joined with their lists by merging, at any size, since the lists
+   grow with the corpus, and rewritten.
 
 Defined cases: null or empty text is one empty line; keys shorter than
 ``min_chars`` code points are never dropped; a document is a row, so repeated
@@ -212,7 +212,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     probes = probes.select("id", "h1", "h2", shard, F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
     hits = probes.groupBy("shard", "salt").cogroup(shards.groupBy("shard", "salt")).applyInArrow(lambda p, s: _probe(p, s, min_docs, "id"), T.StructType([T.StructField("id", id_type), T.StructField("h1", T.LongType())]))
     gone = hits.groupBy(F.col("id").alias("__id")).agg(F.collect_set("h1").alias("__gone"))
-    joined = docs.join(staged(gone, "line-hits"), docs[key].eqNullSafe(F.col("__id")), "left").drop("__id")
+    joined = docs.join(staged(gone, "line-hits").hint("merge"), docs[key].eqNullSafe(F.col("__id")), "left").drop("__id")
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     arrow_out = arrow_schema(spark, schema)
     return joined.mapInArrow(lambda it: _rewrite(it, text, min_chars, arrow_out), schema)
