@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kvlog.llm import decontamination, line_dedup, pieces, quality_rules
+from kvlog.llm import decontamination, line_dedup, ngram_join, pieces, quality_rules
 from kvlog.llm.shared import staged, table
 
 
@@ -15,7 +16,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; n_chars follows the text."""
-    return line_dedup.drop_common_lines(docs).select(*docs.columns)
+    out = line_dedup.drop_common_lines(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five words, similarity 0.8)."""
+    return ngram_join.keep_one(docs, words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +32,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids and the scores of the n best segmentations, with the text that decoding gives back."""
-    return pieces.decode_pieces(pieces.encode_nbest(docs))
+    return pieces.encode_nbest(docs, decoded="decoded")
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", common_lines), ("decontamination", decontaminate), ("sentencepiece", encode)]
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", common_lines),
+    ("ngram_jaccard_join", near_copies),
+    ("decontamination", decontaminate),
+    ("sentencepiece", encode),
+]
 
 #: SQL has no zstandard, edit distance or piece lattice.
 ORACLE_SQL = None

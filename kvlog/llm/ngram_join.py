@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 from kvlog.llm import kernels
 from kvlog.llm.components import components
-from kvlog.llm.shared import staged, without
+from kvlog.llm.shared import bitmap, in_bitmap, left_out, staged
 
 U64 = np.uint64
 SLOT_BITS = 20
@@ -56,7 +56,6 @@ SKETCH_SALTS = 256
 LIST = 4096
 #: Levels (bit lengths of the size) from which frequent tokens are paired; smaller sets are indexed by single tokens.
 PAIRED_FROM = 5
-FILTER_BITS = 23
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -177,11 +176,11 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: float, lev
     return np.concatenate(out)
 
 
-def bitmap(tokens: np.ndarray, level: int) -> bytes:
-    """Parity of the tokens in each of about four bits a token."""
-    bits = 1 << min(16, max(8, level + 2))
-    parity = np.bincount((kernels.mix(tokens ^ U64(0xA0761D6478BD642F)) >> U64(48)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(parity.astype(bool)).tobytes()
+def parity(tokens: np.ndarray, level: int) -> bytes:
+    """Parity of the tokens in each of one or two bits a token, 256 at least."""
+    bits = 1 << min(16, max(8, level))
+    odd = np.bincount((kernels.mix(tokens ^ U64(0xA0761D6478BD642F)) >> U64(48)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
 
 
 _ENTRY = pa.struct([("level", pa.int8()), ("bits", pa.binary()), ("signatures", pa.list_(pa.int64()))])
@@ -203,10 +202,10 @@ def _cards(batches: Iterator[pa.RecordBatch], text: str, n: int, percent: int, s
                 if size and key not in given:
                     given.add(key)
                     counts = sketch[_slot(tokens)]
-                    order = np.lexsort((tokens, np.where(counts > frequent_from, counts, 0)))
+                    order = np.lexsort((tokens, counts))
                     tokens, counts = tokens[order], counts[order]
                     for level, tau in levels(size, percent):
-                        entries.append({"level": level, "bits": bitmap(tokens, level), "signatures": signatures(tokens, counts, frequent_from, level, tau).view(np.int64)})
+                        entries.append({"level": level, "bits": parity(tokens, level), "signatures": signatures(tokens, counts, frequent_from, level, tau).view(np.int64)})
                 out.append((key, size, entries))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], _CARD.field("entries").type)], schema=pa.schema([rows.schema.field(0), *list(_CARD)[1:]]))
 
@@ -336,18 +335,8 @@ def _pairs(lists: DataFrame, percent: int, spanning: bool) -> DataFrame:
 # -- verification -------------------------------------------------------------
 
 
-def _filter(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits that has the bit of every node set; a fixed size, whatever the number of nodes."""
-    bit = nodes.select(F.col("node").bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("at"))
-    words = bit.groupBy(F.expr("at div 32").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, at % 32))").alias("b"))
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for row in words.toLocalIterator():
-        out[row["w"]] = row["b"]
-    return out
-
-
 def _sets(batches: Iterator[pa.RecordBatch], text: str, n: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
-    bits, given = wanted.value, set()
+    given: set[int] = set()
     for batch in batches:
         for _, data, offs in kernels.blocks(batch, text):
             keys, sets = [], []
@@ -355,8 +344,7 @@ def _sets(batches: Iterator[pa.RecordBatch], text: str, n: int, wanted: Broadcas
                 if not len(tokens):
                     continue
                 key = set_hash(tokens)
-                at = key & ((1 << FILTER_BITS) - 1)
-                if int(bits[at >> 5]) >> (at & 31) & 1 and key not in given:
+                if key not in given and in_bitmap(wanted.value, np.array([key]))[0]:
                     if len(given) > 1 << 20:
                         given = set()
                     given.add(key)
@@ -369,7 +357,7 @@ def _verified(docs: DataFrame, text: str, n: int, percent: int, pairs: DataFrame
     """pairs with linked: whether the sets reach the threshold."""
     spark = docs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
-    wanted = spark.sparkContext.broadcast(_filter(nodes))
+    wanted = spark.sparkContext.broadcast(bitmap(nodes, "node"))
     sets = docs.select(text).mapInArrow(lambda it: _sets(it, text, n, wanted), "node long, tokens binary").join(nodes.distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     sets = staged(sets, "ngram-sets")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
@@ -401,7 +389,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
     first = staged(_verified(docs, "text", words, percent, staged(_pairs(lists.withColumn("root", F.lit(0).cast("long")), percent, False), "ngram-pairs")), "ngram-verified")
     linked = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(linked, "ngram-components")
-    known = lists.join(roots.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    # the only pair of a list of two has been looked at; of the others, those that hold several components count
+    longer = lists.join(lists.groupBy("list", "part").agg(F.count("*").alias("n")).where("n > 2").drop("n").hint("merge"), ["list", "part"])
+    known = longer.join(roots.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    mixed = known.groupBy("list", "part").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q").select("list", "part")
+    known = known.join(mixed.hint("merge"), ["list", "part"])
     rest = staged(_pairs(known, percent, True).join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
     if not rest.isEmpty():
         more = _verified(docs, "text", words, percent, rest).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -417,5 +409,5 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: that with the smallest key. Equal keys all stay."""
-    found = jaccard_components(docs, words, percent, key, text).where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone"))
-    return docs.join(found.hint("merge"), docs[key] == F.col("__gone"), "left_anti")
+    found = jaccard_components(docs, words, percent, key, text).where(~F.col(key).eqNullSafe(F.col("component_id"))).select(key)
+    return left_out(docs, staged(found, "ngram-gone"), key)

@@ -39,10 +39,14 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
 UNKNOWN_PENALTY = 10
 #: Chunks kept by a task before it starts anew.
-CACHE = 300_000
+CACHE = 500_000
+#: Lattices are made alike by filling them up to a multiple of this.
+PAD = 4
+NBEST_CACHE = 20_000
 #: Edges of alike lattices that are searched together.
 AT_ONCE = 1 << 18
 NEVER = -(1 << 60)
+DONE = -(1 << 31)
 #: Stands for a literal U+2581 in a lattice; only its place counts.
 _LITERAL = "\ufdd0"
 _OUTPUT = (
@@ -105,7 +109,7 @@ class _Table:
         if len(np.unique(keys)) < len(keys) or not keys.all():
             raise ValueError("prefixes of pieces share a hash")
         self.bits = max(4, int(len(keys) * 3).bit_length())
-        self.keys, self.places = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1)
+        self.keys, self.places = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
         for i, key in enumerate(keys):
             at = int(key) >> (64 - self.bits)
             while self.places[at] >= 0:
@@ -137,7 +141,7 @@ class Segmenter:
         starts = sorted({p[:i] for p in self.vocabulary for i in range(1, len(p) + 1)})
         self.prefixes = _Table(np.array([_hash(p) for p in starts], np.uint64))
         self.prefix_score = np.array([self.vocabulary.get(p, (NEVER, 0))[0] for p in starts])
-        self.prefix_id = np.array([self.vocabulary.get(p, (NEVER, 0))[1] for p in starts])
+        self.prefix_id = np.array([self.vocabulary.get(p, (NEVER, 0))[1] for p in starts], np.int32)
         self.unknown = min(s for s, _ in self.vocabulary.values()) - UNKNOWN_PENALTY
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.decoded: list[bytes] = [b""] * len(ids)
@@ -150,9 +154,10 @@ class Segmenter:
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.parts: list[tuple[int, ...]] = []
-        self.score: list[int] = []
-        self.gap: list[float] = []
+        self.flat = np.zeros(0, np.int32)  # ids of the chunks' best segmentations, one behind another
+        self.ends = np.zeros(1, np.int64)
+        self.score = np.zeros(0, np.int64)
+        self.gap = np.zeros(0)
         self.nbest: dict[str, list[tuple[int, list[int]]]] = {}
 
     @staticmethod
@@ -199,22 +204,37 @@ class Segmenter:
 
     def add(self, chunks: list[str]) -> None:
         """Search the lattices of new chunks: best segmentation, its score and the gap to the second best."""
-        by_length: dict[int, list[str]] = {}
+        alike: dict[int, list[str]] = {}
         for chunk in chunks:
-            by_length.setdefault(len(chunk) + 1, []).append(chunk)
-        for n, group in by_length.items():
+            alike.setdefault((len(chunk) + PAD) // PAD * PAD, []).append(chunk)
+        found = []
+        for n, group in alike.items():
             step = max(1, AT_ONCE // (n * min(n, self.longest)))
             for i in range(0, len(group), step):
-                self._add_alike(group[i : i + step], n)
-
-    def _add_alike(self, chunks: list[str], n: int) -> None:
-        """Viterbi forward and backward over the lattices of chunks of one length, node by node for all chunks together."""
+                found.append(self._add_alike(group[i : i + step], n))
+        if found:
+            flat, sizes, score, gap = (np.concatenate(x) for x in zip(*found, strict=True))
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.score, self.gap = np.concatenate([self.score, score]), np.concatenate([self.gap, gap])
+
+    def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks by their places, one behind another, and how many each has."""
+        starts = self.ends[at]
+        sizes = self.ends[at + 1] - starts
+        upto = np.cumsum(sizes)
+        where = np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - upto + sizes, sizes)
+        return self.flat[where], sizes
+
+    def _add_alike(self, chunks: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Viterbi forward and backward over lattices filled up to n characters, node by node for all chunks together."""
         k = len(chunks)
-        text = "".join(SPACE + c.replace(SPACE, _LITERAL).replace(" ", SPACE) for c in chunks)
+        text = "".join((SPACE + c.replace(SPACE, _LITERAL).replace(" ", SPACE)).ljust(n, _LITERAL) for c in chunks)
+        last = np.fromiter(map(len, chunks), np.int64, k) + 1  # the node where a chunk ends
         chars = np.ascontiguousarray(np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(k, n).T).astype(np.uint64)
         best = np.full((n + 1, k), NEVER)
         best[0] = 0
-        came, label = np.zeros((n + 1, k), np.int64), np.zeros((n + 1, k), np.int64)
+        came, label = np.zeros((n + 1, k), np.int32), np.zeros((n + 1, k), np.int32)
         edges: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # from, to, chunks that have the edge, scores
 
         def relax(u: int, v: int, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
@@ -240,59 +260,71 @@ class Segmenter:
                 score = self.prefix_score[at]
                 whole = score != NEVER
                 relax(u, v, rows[whole], score[whole], self.prefix_id[at[whole]])
-        taken = np.full((n + 1, k), -1)  # where the best path comes from, at its own nodes
-        column, node = np.arange(k), np.full(k, n)
+        taken = np.full((n + 1, k), -1, np.int32)  # where the best path comes from, at its own nodes
+        column, node = np.arange(k), last.copy()
         labels = []
         while node.any():
-            labels.append(np.where(node > 0, label[node, column], NEVER))
+            labels.append(np.where(node > 0, label[node, column], DONE))
             taken[node, column] = np.where(node > 0, came[node, column], -1)
             node = np.where(node > 0, came[node, column], 0)
         back = np.full((n + 1, k), NEVER)
-        back[n] = 0
+        back[last, column] = 0
         second = np.full(k, NEVER)
         for u, v, rows, score in reversed(edges):
             rest = score + back[v][rows]
             back[u][rows] = np.maximum(back[u][rows], rest)
             other = taken[v][rows] != u
             second[rows[other]] = np.maximum(second[rows[other]], (best[u][rows] + rest)[other])
-        self.score.extend(best[n].tolist())
-        self.gap.extend(np.where(second == NEVER, np.inf, (best[n] - second).astype(float)).tolist())
-        for chunk, own in zip(chunks, np.array(labels[::-1]).T.tolist(), strict=True):
-            own = [x for x in own if x != NEVER]
-            self.index[chunk] = len(self.parts)
-            self.parts.append(self._ids(chunk, own) if min(own) < 0 else tuple(own))
+        own = np.array(labels[::-1]).T
+        there = own != DONE
+        bare = (there & (own < 0)).any(axis=1)  # chunks with characters that have no piece
+        lists = [self._ids(chunks[i], own[i][there[i]].tolist()) for i in np.flatnonzero(bare)]
+        order = np.concatenate([np.flatnonzero(~bare), np.flatnonzero(bare)])
+        sizes = np.concatenate([there[~bare].sum(axis=1), np.array([len(x) for x in lists], np.int64)])
+        flat = np.concatenate([own[~bare][there[~bare]], np.array([i for x in lists for i in x], np.int64)])
+        self.index.update(zip(map(chunks.__getitem__, order.tolist()), range(len(self.index), len(self.index) + k), strict=True))
+        total = best[last, column]
+        return flat, sizes, total[order], np.where(second < NEVER // 2, np.inf, (total - second).astype(float))[order]
 
     def best_of(self, chunk: str) -> list[tuple[int, list[int]]]:
         """The chunk's own n best, the cached best one first."""
         if (out := self.nbest.get(chunk)) is None:
+            if len(self.nbest) > NBEST_CACHE:
+                self.nbest = {}
             into = self.lattice(chunk)
             found = [(s, self._ids(chunk, labels)) for s, labels in a_star(into, forward(into), self.n + 1)]
-            first = self.parts[self.index[chunk]]
+            at = self.index[chunk]
+            first = tuple(self.flat[self.ends[at] : self.ends[at + 1]].tolist())
             rest = [x for x in found if x[1] != first][: self.n - 1]
-            self.nbest[chunk] = out = [(self.score[self.index[chunk]], first), *rest]
+            self.nbest[chunk] = out = [(int(self.score[at]), first), *rest]
         return out
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int], list]]:
-        """(places of the chunks in the cache, scores of the n best, what each but the best has in other chunks)."""
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[int]], list[list]]:
+        """Of each text: the ids of its best segmentation (one text behind another) and how many, the scores of the n best, what each but the best has in other chunks."""
+        if len(self.index) > CACHE:
+            self._reset()
         split = [self.chunks(text or "") for text in texts]
         self.add(list({c for chunks in split for c in chunks if c not in self.index}))
-        for chunks in split:
-            at = list(map(self.index.__getitem__, chunks))
-            total = sum(map(self.score.__getitem__, at))
-            if not at:
-                yield at, [0], []
-                continue
-            gaps = np.fromiter(map(self.gap.__getitem__, at), float, len(at))
-            most = min(self.n - 1, len(at))
-            near = np.sort(np.argsort(gaps, kind="stable")[:most] if len(at) <= 64 else np.argpartition(gaps, most - 1)[:most]) if most else []
-            near = [int(i) for i in near if np.isfinite(gaps[i])]
+        every = np.fromiter((i for chunks in split for i in map(self.index.__getitem__, chunks)), np.int64)
+        ends = np.concatenate([[0], np.cumsum([len(c) for c in split], dtype=np.int64)])
+        all_gaps, all_scores = self.gap[every], np.concatenate([[0], np.cumsum(self.score[every])])
+        scores, others = [], []
+        for k, chunks in enumerate(split):
+            total = int(all_scores[ends[k + 1]] - all_scores[ends[k]])
+            gaps = all_gaps[ends[k] : ends[k + 1]]
+            most = min(self.n - 1, len(chunks))
+            near = np.argpartition(gaps, most - 1)[:most] if most else []
+            near = sorted(int(i) for i in near if gaps[i] < np.inf)
             into: Edges = [[]]
             for place, i in enumerate(near):
                 own = self.best_of(chunks[i])
                 into.append([(place, s - own[0][0], (i, k)) for k, (s, _) in enumerate(own)])
             paths = a_star(into, forward(into), self.n)
-            others = [[{"chunk": i, "ids": list(self.best_of(chunks[i])[k][1])} for i, k in labels if k] for _, labels in paths[1:]]
-            yield at, [total + s for s, _ in paths], others
+            scores.append([total + s for s, _ in paths])
+            others.append([[{"chunk": i, "ids": list(self.best_of(chunks[i])[k][1])} for i, k in labels if k] for _, labels in paths[1:]])
+        ids, sizes = self.ids_of(every)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, upto[ends[1:]] - upto[ends[:-1]], scores, others
 
     def decode(self, ids: np.ndarray) -> str:
         """The text behind piece ids (its first character is the space put before it)."""
@@ -314,16 +346,19 @@ def _list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
 
 
-def encode_nbest(docs: DataFrame, model: str = MODEL, n: int = 4, text: str = "text", rows_at_once: int = 256) -> DataFrame:
+def encode_nbest(docs: DataFrame, model: str = MODEL, n: int = 4, text: str = "text", decoded: str | None = None, rows_at_once: int = 512) -> DataFrame:
     """docs plus ids (the best segmentation), n_pieces, scores (of the n best) and alternatives (each next best, as the chunks in which it differs).
 
-    model is a path on the driver; its bytes are sent to the tasks.
+    With `decoded`, one more column of that name has the text that decoding ids
+    gives, made in the same pass. model is a path on the driver; its bytes are
+    sent to the tasks.
     """
     spark = docs.sparkSession
     with open(model, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    docs = without(docs, *(c for c, _ in _OUTPUT))
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in _OUTPUT)])
+    output = [*_OUTPUT, *([(decoded, T.StringType())] if decoded else [])]
+    docs = without(docs, *(c for c, _ in output))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in output)])
     arrow = arrow_schema(spark, schema)
     place = docs.columns.index(text)
 
@@ -332,17 +367,12 @@ def encode_nbest(docs: DataFrame, model: str = MODEL, n: int = 4, text: str = "t
         for whole in batches:
             for start in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(start, rows_at_once)
-                if len(seg.parts) > CACHE:
-                    seg._reset()
-                found = list(seg.encode(batch.column(place).to_pylist()))
-                at = np.array([i for f in found for i in f[0]], np.int64)
-                values = np.fromiter((x for i in at.tolist() for x in seg.parts[i]), np.int32)
-                sizes = np.fromiter(map(len, seg.parts), np.int64, len(seg.parts))
-                ends = np.concatenate([[0], np.cumsum(sizes[at])]) if len(at) else np.zeros(1, np.int64)
-                upto = np.cumsum([len(f[0]) for f in found])
-                lengths = np.diff(ends[np.concatenate([[0], upto]).astype(np.int64)])
-                new = [_list_array(values, lengths), pa.array(lengths), pa.array([f[1] for f in found], arrow.field("scores").type), pa.array([f[2] for f in found], arrow.field("alternatives").type)]
-                new = [x.cast(arrow.field(c).type) for x, (c, _) in zip(new, _OUTPUT, strict=True)]
+                ids, lengths, scores, others = seg.encode(batch.column(place).to_pylist())
+                new = [_list_array(ids, lengths), pa.array(lengths), pa.array(scores, arrow.field("scores").type), pa.array(others, arrow.field("alternatives").type)]
+                if decoded:
+                    ends = np.concatenate([[0], np.cumsum(lengths)])
+                    new.append(pa.array([seg.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string()))
+                new = [x.cast(arrow.field(c).type) for x, (c, _) in zip(new, output, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=arrow)
 
     return docs.mapInArrow(encode, schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvlog.llm.shared import arrow_schema, without
+from kvlog.llm.shared import arrow_schema, hashed_lowest, without
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000
@@ -242,7 +242,7 @@ def all_spans(text: str, field: Field, base: list[Span], sure: float = SURE) ->
 
 def train_field(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
     """A field trained on at most `sample` documents that have nodes, those whose key and text hash lowest."""
-    rows = docs.where(F.col(text).rlike("[0-9@+]")).select(F.xxhash64(key, text).alias("h"), F.col(text).alias("t")).orderBy("h").limit(sample)
+    rows = hashed_lowest(docs.where(F.col(text).rlike("[0-9@+]")).select(F.col(key).alias("k"), F.col(text).alias("t")), sample, "k", "t")
     pieces = rows.select(F.regexp_extract_all("t", F.lit(r"((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){0,2}[^\x20\x09-\x0D]*[0-9@+][^\x20\x09-\x0D]*(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){0,4})"), 1).alias("p"))
     graphs = []
     for row in pieces.toLocalIterator():

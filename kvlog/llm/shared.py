@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +63,41 @@ def hashed_lowest(df: DataFrame, n: int, *by: str) -> DataFrame:
     key = F.xxhash64(*by)
     bound = -(1 << 63) + int(min(1.0, (1.5 * n + 100) / max(1, rows)) * ((1 << 64) - 1))
     return df.where(key <= F.lit(min(bound, (1 << 63) - 1))).orderBy(key, *by).limit(n)
+
+
+#: Bits of the bitmaps that are sent to tasks: 2 MB, whatever the number of keys.
+FILTER_BITS = 24
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap with the bit of every key set (keys are longs that are evenly spread hashes)."""
+    bit = keys.select(F.col(column).bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("at"))
+    words = bit.groupBy(F.expr("at div 32").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, at % 32))").alias("b"))
+    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    for row in words.toLocalIterator():
+        out[row["w"]] = row["b"]
+    return out
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of the bitmap; the others are not for certain."""
+    at = keys & ((1 << FILTER_BITS) - 1)
+    return bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1) == 1
+
+
+def left_out(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs without the rows whose key is in gone. Only rows that a bitmap doesn't clear are shuffled and compared."""
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(bitmap(gone.select(F.xxhash64(key).alias("h")), "h"))
+    marked = docs.select("*", F.xxhash64(key).alias("__h"))
+    arrow = arrow_schema(spark, docs.schema)
+
+    def pick(batches: Iterator[pa.RecordBatch], on: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = in_bitmap(bits.value, batch.column(batch.num_columns - 1).to_numpy())
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=arrow).filter(pa.array(some == on))
+
+    clear = marked.mapInArrow(lambda it: pick(it, False), docs.schema)
+    rest = marked.mapInArrow(lambda it: pick(it, True), docs.schema)
+    other = gone.select(F.col(key).alias("__gone")).hint("merge")
+    return clear.unionAll(rest.join(other, rest[key] == F.col("__gone"), "left_anti"))

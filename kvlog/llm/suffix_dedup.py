@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvlog.llm import kernels
-from kvlog.llm.shared import arrow_schema, staged, without
+from kvlog.llm.shared import arrow_schema, bitmap, in_bitmap, staged, without
 
 U64 = np.uint64
 LENGTH = 400
@@ -52,7 +52,6 @@ SEED = 160
 BATCHES = 4
 #: Long texts are searched in pieces of this many bytes (and length - 1 more).
 PIECE = 1 << 20
-FILTER_BITS = 24
 #: Windows whose hashes are held at once while reaches are compared.
 WINDOWS = 1 << 21
 _PLACE_BITS = 22
@@ -178,28 +177,13 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = keys[-1]
 
 
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits with the bit of every key set: a fixed size, whatever the number of keys."""
-    bit = keys.select(F.col(column).bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("at"))
-    words = bit.groupBy(F.expr("at div 32").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, at % 32))").alias("b"))
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for row in words.toLocalIterator():
-        out[row["w"]] = row["b"]
-    return out
-
-
-def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & ((1 << FILTER_BITS) - 1)
-    return bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1) == 1
-
-
 def _reaches(batches: Iterator[pa.RecordBatch], length: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
     """The bytes of anchors whose seed has different reaches, by the seed and what is beside it on either side."""
     seed, side = min(SEED, length), -(-(length - min(SEED, length)) // 2)
     for batch in batches:
         for _, data, offs, _ in _pieces(batch, "text", length):
             _, spot, a, b, seeds, reach = anchors(data, offs, length)
-            on = np.flatnonzero(_has(wanted.value, seeds.view(np.int64)))
+            on = np.flatnonzero(in_bitmap(wanted.value, seeds.view(np.int64)))
             if not len(on):
                 continue
             prefix, inverse = _prefix(data)
@@ -315,7 +299,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
 
     def pick(batches: Iterator[pa.RecordBatch], on: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = _has(have.value, batch.column(batch.num_columns - 1).to_numpy())
+            some = in_bitmap(have.value, batch.column(batch.num_columns - 1).to_numpy())
             yield pa.RecordBatch.from_arrays(batch.columns, schema=arrow).filter(pa.array(some == on))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
