@@ -9,12 +9,14 @@ An anchor is a chosen suffix together with the windows that chose it, which star
 one after the other, and the bytes that they cover, its reach.
 
 A batch of documents becomes a suffix array: its anchors ordered by the
-fingerprint of the seed, then that of the reach (hash order instead of byte order:
-only matches beyond a seed count). `SuffixIndex` keeps a family of such arrays,
+fingerprint of the seed (hash order instead of byte order: only matches beyond a
+seed count). `SuffixIndex` keeps a family of such arrays,
 the levels. A new batch is merge-scanned against all levels: the sorted streams
 run together, and seeds that meet are long matches. Then levels of equal size are
 merged into one of twice the size, so there are at most log2(batches) levels and
-an anchor is rewritten as often as that.
+an anchor is rewritten as often as that. Suffixes of one seed are one entry with
+their number, added up before the shuffle: a passage in a third of all documents
+is as short there as any other.
 
 Anchors whose whole reach occurs twice are settled by that. Where a seed has
 different reaches, its anchors' bytes are fetched and the windows compared: each
@@ -35,6 +37,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -131,59 +134,67 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, n_batches: int,
 
 
 class SuffixIndex:
-    """The family of levels: sorted arrays (seed, reach), each of them a table in the shared folder."""
+    """The family of levels: arrays (seed, n) in seed order, n suffixes each, every one a table in the shared folder."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.levels: list[tuple[int, DataFrame]] = []  # (batches inside, array)
 
     @staticmethod
-    def _sorted(array: DataFrame) -> DataFrame:
-        return array.repartition("seed").sortWithinPartitions("seed", "reach")
+    def _array(entries: DataFrame) -> DataFrame:
+        """Equal seeds become one entry before they are shuffled."""
+        return staged(entries.groupBy("seed").agg(F.sum("n").alias("n")).sortWithinPartitions("seed"), "suffix-level")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Scan a batch (seed, reach) against the levels and itself, then merge it in; returns the seeds that met, as a table."""
-        array = batch.select("seed", "reach")
-        together = array
+        """Scan a batch (seed) against the levels and itself, then merge it in; returns the seeds that met, as a table."""
+        array = self._array(batch.select("seed", F.lit(1).cast("long").alias("n")))
+        together = array.select("seed", "n", F.lit(1).alias("new"))
         for _, level in self.levels:
-            together = together.unionAll(level)
-        met = staged(self._sorted(together).mapInArrow(_meeting, "seed long"), "suffix-met")
-        size, merged = 1, array
+            together = together.unionAll(level.select("seed", "n", F.lit(0).alias("new")))
+        met = staged(together.repartition("seed").sortWithinPartitions("seed").mapInArrow(_meeting, "seed long"), "suffix-met")
+        size, merged = 1, [array]
         while self.levels and self.levels[-1][0] == size:
-            size, merged = 2 * size, merged.unionAll(self.levels.pop()[1])
-        self.levels.append((size, staged(self._sorted(merged), "suffix-level")))
+            merged.append(self.levels.pop()[1])
+            size *= 2
+        self.levels.append((size, self._array(reduce(DataFrame.unionAll, merged)) if len(merged) > 1 else array))
         return met
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The seeds of a sorted stream that come twice or more, each once."""
-    last, told = None, False
+    """Of a stream (seed, n, new) in seed order: the seeds of two suffixes or more, one of them new."""
+    last = None  # (seed, n, new) of the run that may go on
     for batch in batches:
-        seeds = batch.column(0).to_numpy()
-        if not len(seeds):
+        if not batch.num_rows:
             continue
-        first = np.ones(len(seeds), bool)
-        first[1:] = seeds[1:] != seeds[:-1]
+        seed, n, new = (batch.column(c).to_numpy() for c in range(3))
+        if last is not None:
+            seed, n, new = (np.concatenate([[w], x]) for w, x in zip(last, (seed, n, new), strict=True))
+        first = np.ones(len(seed), bool)
+        first[1:] = seed[1:] != seed[:-1]
         at = np.flatnonzero(first)
-        count = np.diff(np.append(at, len(seeds)))
-        keys, twice = seeds[at], count > 1
-        if last is not None and keys[0] == last:
-            twice[0] = not told
-            told_first = True
-        else:
-            told_first = bool(twice[0])
-        yield pa.RecordBatch.from_arrays([pa.array(keys[twice])], ["seed"])
-        told = bool(twice[-1]) if len(keys) > 1 else told_first
-        last = keys[-1]
+        keys, count, fresh = seed[at], np.add.reduceat(n, at), np.maximum.reduceat(new, at)
+        last = keys[-1], count[-1], fresh[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[:-1][(count[:-1] > 1) & (fresh[:-1] > 0)])], ["seed"])
+    if last is not None and last[1] > 1 and last[2]:
+        yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64())], ["seed"])
 
 
 def _reaches(batches: Iterator[pa.RecordBatch], length: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
-    """The bytes of anchors whose seed has different reaches, by the seed and what is beside it on either side."""
+    """The bytes of anchors whose seed has different reaches, by the seed and what is beside it on either side; a task gives a reach once."""
+    given: set[tuple[int, int]] = set()
     seed, side = min(SEED, length), -(-(length - min(SEED, length)) // 2)
     for batch in batches:
         for _, data, offs, _ in _pieces(batch, "text", length):
             _, spot, a, b, seeds, reach = anchors(data, offs, length)
             on = np.flatnonzero(in_bitmap(wanted.value, seeds.view(np.int64)))
+            if len(given) > 1 << 19:
+                given = set()
+            fresh = []
+            for i, pair in zip(on.tolist(), zip(seeds[on].tolist(), reach[on].tolist(), strict=True), strict=True):
+                if pair not in given:
+                    given.add(pair)
+                    fresh.append(i)
+            on = np.array(fresh, np.int64)
             if not len(on):
                 continue
             prefix, inverse = _prefix(data)
@@ -272,14 +283,16 @@ def _spans(docs: DataFrame, length: int, n_batches: int) -> DataFrame:
     for b in range(n_batches):
         found = index.add(every.where(F.col("batch") == b))
         met = found if met is None else met.unionAll(found)
-    met = met.distinct()
+    # tables of their own, so that a join on a seed or reach with very many anchors can be split
+    met = staged(met.distinct(), "suffix-seeds")
     at = staged(every.drop("batch").join(met.hint("merge"), "seed", "left_semi"), "suffix-matches")
     reaches = at.groupBy("seed", "reach").agg(F.count("*").alias("n"))
     seeds = at.groupBy("seed").agg(F.min("reach").alias("a"), F.max("reach").alias("b")).where("a <> b").select("seed")
     wanted = spark.sparkContext.broadcast(bitmap(seeds, "seed"))
     beside = docs.select("text").mapInArrow(lambda it: _reaches(it, length, wanted), "key long, seed long, reach long, right boolean, before long, bytes binary")
     parts = beside.repartition("key").sortWithinPartitions("key", "reach").mapInArrow(lambda it: _compare(it, length), "seed long, reach long, lo long, hi long").distinct()
-    whole = reaches.where("n > 1").select("seed", "reach")
+    parts = staged(parts, "suffix-parts")
+    whole = staged(reaches.where("n > 1").select("seed", "reach"), "suffix-whole")
     of_whole = at.join(whole.hint("merge"), ["seed", "reach"], "left_semi").select("id", "th", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     of_parts = at.join(parts.hint("merge"), ["seed", "reach"]).select("id", "th", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + length).alias("b"))
     spans = of_whole.unionAll(of_parts).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
