@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,7 +100,7 @@ def frequency_sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
                 grams, _ = kernels.windows(kernels.span_hashes(data, starts, ends, fold=True), first, n)
                 total += np.bincount(_slot(grams), minlength=width)
         if total.any():
-            salt = int(np.random.default_rng().integers(SKETCH_SALTS))
+            salt = TaskContext.get().partitionId() % SKETCH_SALTS  # the same when a task is run again
             parts = total.reshape(-1, block)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([salt] * len(parts), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "salt", "counts"])
 
