@@ -1,12 +1,18 @@
 r"""Quality rules: word rules plus compression bands.
 
-Every whole text is compressed with zstandard twice: as a whole, and in fixed
-chunks of ``CHUNK`` bytes. The ratio raw / compressed has to lie inside a band
-that depends on the length, since short texts compress less: above the band the
-text is repetitive, below it incompressible (base64, random symbols). One chunk
-outside the chunk band rejects the document, so a long ordinary text can't hide a
-repetitive passage of a chunk or more. A last piece shorter than a chunk counts
-in the whole only.
+Every whole text is compressed with zstandard as a whole, and in fixed chunks of
+``CHUNK`` and of ``SMALL_CHUNK`` bytes. The ratio raw / compressed has to lie inside
+a band that depends on the length, since short texts compress less: above the band
+the text is repetitive, below it incompressible (base64, random symbols). One chunk
+outside its band rejects the document, so a long ordinary text can't hide a
+repetitive passage of a chunk or more. The last chunk ends with the text and may
+overlap the one before, so tails are judged too; texts shorter than a small chunk
+are judged as a whole by the band for their length.
+
+From 256 bytes on the lower limits are above base64 of that length (1.33 at most);
+in shorter texts ordinary words compress no better. The upper limits are 1.3 times the largest
+ratio or more of ordinary text of that length. A chunk of which half is one repeated
+passage is beyond the band.
 
 Defined cases: null or empty text has no words, ratio null and fails the word
 rule; texts shorter than the smallest band's start have no ratio verdict; repeated
@@ -29,9 +35,11 @@ from kvlog.llm.shared import arrow_schema, without
 CHUNK = 4096
 LEVEL = 3
 #: From this many bytes on: smallest and largest ratio of a whole text.
-BANDS = ((64, 0.6, 3.0), (256, 0.9, 4.0), (1024, 1.1, 5.0), (4096, 1.3, 6.0), (65536, 1.3, 8.0))
-#: The same for a chunk.
-CHUNK_BAND = (1.2, 6.0)
+BANDS = ((64, 0.85, 2.0), (128, 1.0, 2.2), (256, 1.2, 2.5), (512, 1.3, 2.9), (1024, 1.4, 3.2), (2048, 1.4, 3.5), (4096, 1.4, 3.8), (16384, 1.4, 4.0), (65536, 1.4, 4.5))
+#: The same for a chunk, and for a small one.
+CHUNK_BAND = (1.4, 3.4)
+SMALL_CHUNK = 1024
+SMALL_BAND = (1.4, 3.0)
 SYMBOLS = b"#*$%&|<>"
 OUTPUT = (
     ("n_words", T.LongType()),
@@ -67,19 +75,23 @@ def _repeats(hashes: np.ndarray, width: int) -> int:
 
 
 def compression(raw: bytes, compressor: zstandard.ZstdCompressor, bands=BANDS, chunk_band=CHUNK_BAND, chunk: int = CHUNK) -> tuple[float | None, float | None, bool]:
-    """Ratio of the whole, the chunk ratio farthest from the band's middle, and whether all lie inside their bands."""
+    """Ratio of the whole, the chunk ratio farthest from its band's middle, and whether all lie inside their bands."""
     size = len(raw)
     if not size:
         return None, None, True
     whole = size / len(compressor.compress(raw))
     ok = all(lo <= whole <= hi for start, lo, hi in [b for b in bands if b[0] <= size][-1:])
     worst, off = None, -1.0
-    middle = (chunk_band[0] * chunk_band[1]) ** 0.5
-    for at in range(0, size - chunk + 1, chunk):
-        ratio = chunk / len(compressor.compress(raw[at : at + chunk]))
-        ok = ok and chunk_band[0] <= ratio <= chunk_band[1]
-        if (away := max(ratio / middle, middle / ratio)) > off:
-            worst, off = ratio, away
+    for width, (lo, hi) in ((chunk, chunk_band), (SMALL_CHUNK, SMALL_BAND)):
+        if size < width:
+            continue
+        middle = (lo * hi) ** 0.5
+        # the last one ends with the text
+        for at in (*range(0, size - width, width), size - width):
+            ratio = width / len(compressor.compress(raw[at : at + width]))
+            ok = ok and lo <= ratio <= hi
+            if (away := max(ratio / middle, middle / ratio)) > off:
+                worst, off = ratio, away
     return whole, worst, ok
 
 

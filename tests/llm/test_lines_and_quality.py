@@ -1,5 +1,6 @@
 """Line dedup and quality rules against plain Python."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -88,6 +89,22 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
+def test_base64_and_repeated_passages():
+    r = random.Random(5)
+    c = zstandard.ZstdCompressor(level=quality_rules.LEVEL, write_content_size=False)
+    for n in (256, 1000, 4600, 9000, 20_000, 81_000):
+        code = base64.b64encode(r.randbytes(n)).decode()
+        assert not quality_rules.compression("\n".join(code[i : i + 76] for i in range(0, n, 76)).encode()[:n], c)[2], n
+    syllables = ["an", "the", "ing", "er", "on", "re", "st", "ed", "ly", "wh", "or", "ble", "sh", "in", "of", "th", "and", "ent", "al", "ou"]
+    plain = " ".join("".join(r.choice(syllables) for _ in range(r.randrange(1, 5))) for _ in range(3000)).encode()
+    code = base64.b64encode(r.randbytes(4000))
+    for n in (900, 4096, 9000):
+        assert quality_rules.compression(plain[:n], c)[2], n
+        for m in (1024, 2500, 4000):
+            assert not quality_rules.compression(plain[:n] + (b" repeat this passage" * 200)[:m], c)[2], (n, m)
+            assert not quality_rules.compression(plain[:n] + code[:m], c)[2], (n, m)
+
+
 def test_digest_of_kept_text(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     assert hashlib.sha256(line_dedup.drop_common_lines(df, 2).first()["text"].encode()).hexdigest() == hashlib.sha256(b"a\nb").hexdigest()
