@@ -22,8 +22,10 @@ Anchors whose whole reach occurs twice are settled by that. Where a seed has
 different reaches, its anchors' bytes are fetched and the windows compared: each
 window has 120 bytes or more beside the seed on the right or on the left, so
 anchors meet by seed and the 120 bytes on that side, and windows of one offset
-that are equal are repeats. Windows are compared in slices of offsets, which bounds
-memory for seeds with many different reaches; equal reaches come once.
+that are equal are repeats. Up to ``GROUP`` reaches meet in a task with their bytes;
+at the edge of a passage that very many documents share there are more, and of these
+only the hashes of the windows are dealt out, counted before the shuffle and joined
+back where two reaches have one. No task holds more than ``GROUP`` reaches.
 
 Documents are told apart by id and hash of the text. Those without repeats are
 not shuffled; a bitmap of fixed size says which documents have any.
@@ -57,6 +59,8 @@ BATCHES = 4
 PIECE = 1 << 20
 #: Windows whose hashes are held at once while reaches are compared.
 WINDOWS = 1 << 21
+#: Rows of reaches that are compared in one task, with their bytes.
+GROUP = 512
 _PLACE_BITS = 22
 
 
@@ -209,17 +213,24 @@ def _reaches(batches: Iterator[pa.RecordBatch], length: int, wanted: Broadcast)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kernels.signed(own[3])), pa.array(kernels.signed(own[4])), pa.array(np.full(len(key), right)), pa.array(own[0] - own[1]), pa.array([raw[x : y + length] for x, y in zip(own[1], own[2], strict=True)], pa.binary())], ["key", "seed", "reach", "right", "before", "bytes"])
 
 
+def _windows(raw: bytes, before: int, right: bool, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A reach's bytes and its windows with the seed and that side of it inside: offsets of the seed in them, and their starts."""
+    side = -(-(length - min(SEED, length)) // 2)
+    data = np.frombuffer(raw, np.uint8)
+    starts = np.arange(len(data) - length + 1)
+    # offsets of the seed in a window: up to length - seed - side with the right side inside, side or more with the left
+    starts = starts[(before - starts <= length - min(SEED, length) - side)] if right else starts[before - starts >= side]
+    return before - starts, starts, data
+
+
+def _window_hashes(offset: np.ndarray, starts: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+    prefix, inverse = _prefix(data)
+    return kernels.mix(_hash(prefix, inverse, starts, starts + length) + offset.astype(U64) * U64(0x632BE59BD9B4E019))
+
+
 def _repeated(group: list[tuple[int, int, bool, int, bytes]], length: int) -> Iterator[tuple[int, int, int, int]]:
     """(seed, reach, from, to): runs of window starts, counted from the reach's start, that another reach of the group has."""
-    side = -(-(length - min(SEED, length)) // 2)
-    right = group[0][2]
-    hashed = []
-    for _, _, _, before, raw in group:
-        data = np.frombuffer(raw, np.uint8)
-        starts = np.arange(len(data) - length + 1)
-        # offsets of the seed in a window: up to length - seed - side with the right side inside, side or more with the left
-        starts = starts[(before - starts <= length - min(SEED, length) - side)] if right else starts[before - starts >= side]
-        hashed.append((before - starts, starts, data))
+    hashed = [_windows(raw, before, right, length) for _, _, right, before, raw in group]
     offsets = [h[0] for h in hashed]
     top = max((int(o.max()) for o in offsets if len(o)), default=-1)
     step = max(1, WINDOWS // len(group))
@@ -229,9 +240,7 @@ def _repeated(group: list[tuple[int, int, bool, int, bytes]], length: int) -> It
         for i, (offset, starts, data) in enumerate(hashed):
             at = np.flatnonzero((offset >= lo) & (offset < lo + step))
             if len(at):
-                prefix, inverse = _prefix(data)
-                h = _hash(prefix, inverse, starts[at], starts[at] + length)
-                keys.append(kernels.mix(h + offset[at].astype(U64) * U64(0x632BE59BD9B4E019)))
+                keys.append(_window_hashes(offset[at], starts[at], data, length))
                 owners.append(np.stack([np.full(len(at), i), at]))
         if not keys:
             continue
@@ -271,6 +280,51 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield out()
 
 
+def _picked(batches: Iterator[pa.RecordBatch], large: Broadcast, on: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(in_bitmap(large.value, batch.column(0).to_numpy()) == on))
+
+
+def _spread(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """A row for each window of a reach: its hash, and where it starts in the reach."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, GROUP):
+            some = batch.slice(i, GROUP)
+            found = [_windows(raw.as_py(), before.as_py(), right.as_py(), length) for right, before, raw in zip(*(some.column(c) for c in (3, 4, 5)), strict=True)]
+            take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+            hashes = np.concatenate([np.zeros(0, U64), *(_window_hashes(*f, length) for f in found)])
+            starts = np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)])
+            yield pa.RecordBatch.from_arrays([pa.array(kernels.signed(hashes)), some.column(1).take(take), some.column(2).take(take), pa.array(starts)], ["window", "seed", "reach", "at"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (seed, reach, sorted starts) as runs (seed, reach, from, to)."""
+    for batch in batches:
+        rows = []
+        for seed, reach, starts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            on = np.array(starts)
+            rows += [(seed, reach, int(run[0]), int(run[-1])) for run in np.split(on, np.flatnonzero(np.diff(on) != 1) + 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["seed", "reach", "lo", "hi"])
+
+
+def _by_size(beside: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The reaches of keys with up to GROUP rows, and the others (with those that share a bit with them)."""
+    large = beside.sparkSession.sparkContext.broadcast(bitmap(beside.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "key"))
+    return tuple(beside.mapInArrow(lambda it, on=on: _picked(it, large, on), beside.schema) for on in (False, True))
+
+
+def _parts(beside: DataFrame, length: int) -> DataFrame:
+    """(seed, reach, lo, hi): runs of window starts that another reach has."""
+    runs = "seed long, reach long, lo long, hi long"
+    few, many = _by_size(beside)
+    few = few.repartition("key").sortWithinPartitions("key", "reach").mapInArrow(lambda it: _compare(it, length), runs)
+    # tables of their own, so that the join on a window that very many reaches have can be split
+    windows = staged(many.mapInArrow(lambda it: _spread(it, length), "window long, seed long, reach long, at long"), "suffix-windows")
+    twice = staged(windows.groupBy("window").agg(F.min("reach").alias("a"), F.max("reach").alias("b")).where("a <> b").select("window"), "suffix-twice")
+    again = windows.join(twice.hint("merge"), "window", "left_semi").groupBy("seed", "reach").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    return few.unionAll(again.mapInArrow(_runs, runs)).distinct()
+
+
 def _spans(docs: DataFrame, length: int, n_batches: int) -> DataFrame:
     """(id, th, spans) of the documents (id, text, th) that have repeats."""
     spark = docs.sparkSession
@@ -290,8 +344,7 @@ def _spans(docs: DataFrame, length: int, n_batches: int) -> DataFrame:
     seeds = at.groupBy("seed").agg(F.min("reach").alias("a"), F.max("reach").alias("b")).where("a <> b").select("seed")
     wanted = spark.sparkContext.broadcast(bitmap(seeds, "seed"))
     beside = docs.select("text").mapInArrow(lambda it: _reaches(it, length, wanted), "key long, seed long, reach long, right boolean, before long, bytes binary")
-    parts = beside.repartition("key").sortWithinPartitions("key", "reach").mapInArrow(lambda it: _compare(it, length), "seed long, reach long, lo long, hi long").distinct()
-    parts = staged(parts, "suffix-parts")
+    parts = staged(_parts(staged(beside, "suffix-beside"), length), "suffix-parts")
     whole = staged(reaches.where("n > 1").select("seed", "reach"), "suffix-whole")
     of_whole = at.join(whole.hint("merge"), ["seed", "reach"], "left_semi").select("id", "th", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     of_parts = at.join(parts.hint("merge"), ["seed", "reach"]).select("id", "th", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + length).alias("b"))

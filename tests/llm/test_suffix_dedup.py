@@ -55,6 +55,28 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_many_reaches_beside_one_passage(spark, monkeypatch):
+    """Where very many documents leave a shared passage in their own ways, no group of bytes beyond GROUP meets in one task."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", 8)
+    sizes, by_size = [], suffix_dedup._by_size
+
+    def spy(beside):
+        few, many = by_size(beside)
+        sizes.append((max((r["count"] for r in few.groupBy("key").count().collect()), default=0), many.count()))
+        return few, many
+
+    monkeypatch.setattr(suffix_dedup, "_by_size", spy)
+    r = random.Random(6)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, ways = some(900), [some(150) for _ in range(3)]
+    docs = corpus(5) + [(200 + i, some(r.randrange(300)) + passage + r.choice(["", *ways]) + some(r.randrange(300))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(df, 400)
+    assert sorted(((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept_bytes"])) for x in got.collect()), key=repr) == brute(docs, 400)
+    ((few, many),) = sizes
+    assert 0 < few <= 8 and many > 100
+
+
 def test_levels_grow_geometrically(spark):
     index = suffix_dedup.SuffixIndex(spark)
     met = []
