@@ -13,9 +13,11 @@ Items are sent to the tasks in groups of at most ``GROUP_CHARS`` code points, on
 pass over the documents for each group, so what is broadcast has a fixed bound
 however long the benchmark is (test sets fit one group).
 
-Defined cases: null or empty texts and items match nothing; items shorter than
-``MIN_ITEM`` code points (normalised) are too short to identify and are left
-out; items that occur twice under one id count once; a document row is searched
+Items shorter than ``MIN_ITEM`` code points (normalised) have k as well (0 or 1),
+but occur at word boundaries only: neither end lies between two letters or digits,
+so a short item isn't found inside of longer words.
+
+Defined cases: null or empty texts and items match nothing; items that occur twice under one id count once; a document row is searched
 by itself, so repeated rows give repeated matches; empty tables give no rows.
 """
 
@@ -32,6 +34,7 @@ from pyspark.sql import types as T
 from kvlog.llm.shared import arrow_schema
 
 CHARS_PER_EDIT = 12
+#: Shorter items have to occur at word boundaries.
 MIN_ITEM = 24
 GROUP_CHARS = 1 << 22
 Q = 4
@@ -83,19 +86,59 @@ def occurrence(item: str, window: str, grams: list[str], k: int) -> tuple[int, i
     return distance, end - back, end
 
 
+def boundary(text: str, at: int) -> bool:
+    return not 0 < at < len(text) or not (text[at - 1].isalnum() and text[at].isalnum())
+
+
+def distance_within(a: str, b: str, k: int) -> int:
+    """Edit distance of a and b, or k + 1 if it is larger."""
+    lo, x, y = 0, len(a), len(b)
+    while lo < min(x, y) and a[lo] == b[lo]:
+        lo += 1
+    while lo < min(x, y) and a[x - 1] == b[y - 1]:
+        x, y = x - 1, y - 1
+    a, b = a[lo:x], b[lo:y]
+    if max(len(a), len(b)) <= 1 or k <= 1:
+        return min(max(len(a), len(b)), k + 1)
+    row = [*range(len(b) + 1)]
+    for i, p in enumerate(a, 1):
+        new = [i]
+        for j, c in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != c)))
+        row = new
+    return min(row[-1], k + 1)
+
+
+def short_occurrence(item: str, text: str, starts: list[int], k: int) -> tuple[int, int, int] | None:
+    """(distance, start, end) of the first best occurrence at word boundaries, starting within k of the given places."""
+    m, best = len(item), None
+    for start in sorted({s + d for s in starts for d in range(-k, k + 1)}):
+        if not 0 <= start < len(text) or not boundary(text, start):
+            continue
+        for end in range(max(start + 1, start + m - k), min(len(text), start + m + k) + 1):
+            if boundary(text, end):
+                distance = distance_within(item, text[start:end], k)
+                if distance <= k and (best is None or distance < best[0]):
+                    best = distance, start, end
+        if best is not None and not best[0]:
+            break
+    return best
+
+
 class Matcher:
     def __init__(self, items: Iterable[tuple[int, str]], chars_per_edit: int = CHARS_PER_EDIT, min_item: int = MIN_ITEM) -> None:
         self.items: list[tuple[int, str, list[str], int]] = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for key, text in sorted({(i, normalise(t)) for i, t in items}, key=repr):
             m = len(text)
-            if m < min_item:
+            if not m:
                 continue
             k = m // chars_per_edit
             for p in range(k + 1):
                 a, b = p * m // (k + 1), (p + 1) * m // (k + 1)
                 pieces.setdefault(text[a:b], []).append((len(self.items), a))
             self.items.append((key, text, [text[i : i + Q] for i in range(m - Q + 1)], k))
+        self.min_item = min_item
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -115,6 +158,10 @@ class Matcher:
         found: dict[int, tuple[int, int, int]] = {}
         for i, starts in spots.items():
             key, item, grams, k = self.items[i]
+            if len(item) < self.min_item:
+                if (hit := short_occurrence(item, n, starts, k)) is not None:
+                    found[key] = min(found.get(key, hit), hit)
+                continue
             starts.sort()
             lo = hi = None
             for start in [*starts, None]:

@@ -129,6 +129,39 @@ def test_decontamination(spark):
     assert decontamination.matches(df.limit(0), bench).count() == decontamination.matches(df, bench.limit(0)).count() == 0
 
 
+def whole_distance(a, b):
+    row = [*range(len(b) + 1)]
+    for i, p in enumerate(a, 1):
+        new = [i]
+        for j, c in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != c)))
+        row = new
+    return row[-1]
+
+
+def test_short_items_against_all_substrings(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("etao1") for _ in range(r.randrange(1, 7)))
+    phrase = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, decontamination.normalise(phrase(7))[: n - 1] + "e") for i, n in enumerate((1, 2, 5, 11, 12, 13, 16, 20, 22, 23))]
+    items += [(50, "What is 2+2? Four!!!"), (51, "(a)"), (52, " "), (53, None)]
+    docs = [(i, f"{phrase(r.randrange(5))}{r.choice([' ', ' ', '-', '. ', 'x', ''])}{edited(r, items[i % 10][1], r.choice([0, 0, 1, 1, 2])) if i % 4 else phrase(4)}{r.choice([' ', ' ', '!', 'e'])}{phrase(3)}") for i in range(120)]
+    docs += [(200, "so what is 2+2?  FOUR!!!"), (201, "x(a)y"), (202, items[7][1]), (203, items[7][1] + "x"), (204, "x" + items[7][1] + "xx"), (205, None)]
+    edge = lambda t, i: not 0 < i < len(t) or not (t[i - 1].isalnum() and t[i].isalnum())
+    want = set()
+    for d, t in docs:
+        for key, item in items:
+            p, q = decontamination.normalise(item), decontamination.normalise(t)
+            k, m = len(p) // decontamination.CHARS_PER_EDIT, len(p)
+            spans = [(whole_distance(p, q[a:b])) for a in range(len(q)) if edge(q, a) for b in range(max(a + 1, a + m - k), min(len(q), a + m + k) + 1) if edge(q, b)] if p else []
+            if spans and min(spans) <= k:
+                want.add((d, key, min(spans)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"], x["distance"]) for x in decontamination.matches(df, bench).collect()} == want
+    assert {(200, 50, 0), (202, 7, 0), (203, 7, 1)} <= want and not {d for d, i, _ in want if i == 7} & {204} and {k for _, k, _ in want} >= {4, 5, 6, 7, 8, 9} and {x for _, _, x in want} == {0, 1}
+    assert {x["doc_id"] for x in decontamination.drop_contaminated(df, bench).collect()} == {d for d, _ in docs} - {d for d, _, _ in want}
+
+
 def test_item_groups(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "GROUP_CHARS", 100)
     items = [(i, f"this is the benchmark question number {i} of the set") for i in range(9)]
