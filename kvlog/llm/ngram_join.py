@@ -24,7 +24,8 @@ differ by more than the threshold allows is out for certain. Within a list only
 minimum spanning forest of the other pairs is passed on, so a list of n near
 copies makes at most n - 1 pairs. These are verified on the sets themselves. Then
 lists that still hold several components pass on every pair that spans two and is
-not ruled out; after their verification no link between components is left. Lists
+not ruled out, by bitmaps of eight times the width, so that pairs just below the
+threshold mostly stay behind; they leave in batches of ``PAIRS``. After their verification no link between components is left. Lists
 beyond ``LIST`` sets are compared block by block, which bounds a task's memory.
 
 Defined cases: null, empty or blank texts have empty sets and link with nothing;
@@ -34,6 +35,7 @@ rows are documents of their own with one id; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +56,10 @@ BLOCK_BITS = 16
 SKETCH_SALTS = 256
 #: Sets of a list that are compared in one go.
 LIST = 4096
+#: Pairs of a list that leave in one batch.
+PAIRS = 1 << 16
+#: How much wider the bitmaps of the second pass are (up to 65,536 bits).
+WIDER = 8
 #: Levels (bit lengths of the size) from which frequent tokens are paired; smaller sets are indexed by single tokens.
 PAIRED_FROM = 5
 
@@ -178,7 +184,17 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: float, lev
 
 def parity(tokens: np.ndarray, level: int) -> bytes:
     """Parity of the tokens in each of one or two bits a token, 256 at least."""
+    return _parity(tokens, 1 << min(16, max(8, level)))
+
+
+def wide_parity(tokens: np.ndarray, level: int) -> tuple[int, bytes]:
+    """Bytes of the bitmap that parity gives, and a wider one; empty where that has the greatest width already."""
     bits = 1 << min(16, max(8, level))
+    wide = min(1 << 16, WIDER * bits)
+    return bits // 8, _parity(tokens, wide) if wide > bits else b""
+
+
+def _parity(tokens: np.ndarray, bits: int) -> bytes:
     odd = np.bincount((kernels.mix(tokens ^ U64(0xA0761D6478BD642F)) >> U64(48)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
@@ -245,17 +261,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _List:
     """The sets of one list: keys, sizes, bitmaps, and the components they are known to be in."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes, int]], percent: int) -> None:
+    def __init__(self, rows: list[tuple], percent: int) -> None:
         rows.sort()
         self.percent = percent
         self.keys = [r[0] for r in rows]
         self.sizes = np.array([r[1] for r in rows], np.int64)
         self.bits = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1)
         self.roots = np.array([r[3] for r in rows], np.int64)
+        wide = b"".join(r[4] for r in rows if len(r) > 4)
+        self.bitmaps = [self.bits, np.frombuffer(wide, np.uint64).reshape(len(rows), -1)] if wide else [self.bits]
 
-    def away(self, i: int, others: np.ndarray) -> np.ndarray:
+    def away(self, i: int, others: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Bits in which i differs from the others, or a large number where the pair is ruled out."""
-        differ = np.bitwise_count(self.bits[others] ^ self.bits[i]).sum(axis=1, dtype=np.int64)
+        differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
         total = self.sizes[others] + self.sizes[i]
         allowed = total - 2 * -(-self.percent * total // (100 + self.percent))
         small, large = np.minimum(self.sizes[others], self.sizes[i]), np.maximum(self.sizes[others], self.sizes[i])
@@ -266,7 +284,7 @@ class _List:
         left = np.arange(1, len(self.keys))
         best, at, i = np.full(len(left), 1 << 30), np.zeros(len(left), np.int64), 0
         while len(left):
-            away = self.away(i, left)
+            away = self.away(i, left, self.bits)
             nearer = away < best
             best, at = np.where(nearer, away, best), np.where(nearer, i, at)
             k = int(best.argmin())
@@ -280,33 +298,33 @@ class _List:
         """All pairs of two components that aren't ruled out."""
         for i in range(len(self.keys) - 1):
             others = np.flatnonzero(self.roots[i + 1 :] != self.roots[i]) + i + 1
-            if len(others):
-                for j in others[self.away(i, others) < 1 << 30]:
-                    yield self.keys[i], self.keys[j]
+            for bits in self.bitmaps:
+                if len(others):
+                    others = others[self.away(i, others, bits) < 1 << 30]
+            for j in others:
+                yield self.keys[i], self.keys[j]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int, spanning: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (list, part, set, size, bits, root), sorted by list and part."""
+    """Rows (list, part, set, size, bits, root), sorted by list and part; with wider bitmaps behind them if spanning."""
     key, held = None, []
 
-    def pairs() -> pa.RecordBatch | None:
+    def pairs() -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
-            return None
+            return
         of = _List(held, percent)
         if spanning and len(np.unique(of.roots)) < 2:
-            return None
-        found = list(of.spanning() if spanning else of.forest())
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+            return
+        for found in itertools.batched(of.spanning() if spanning else of.forest(), PAIRS):
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[:2] != key:
-                if (out := pairs()) is not None:
-                    yield out
+                yield from pairs()
                 key, held = row[:2], []
             held.append(row[2:])
-    if (out := pairs()) is not None:
-        yield out
+    yield from pairs()
 
 
 def _lists(cards: DataFrame) -> DataFrame:
@@ -328,10 +346,34 @@ def _lists(cards: DataFrame) -> DataFrame:
 
 
 def _pairs(lists: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    rows = lists.repartition("list", "part").sortWithinPartitions("list", "part").select("list", "part", "set", "size", "bits", "root")
+    rows = lists.repartition("list", "part").sortWithinPartitions("list", "part").select("list", "part", "set", "size", "bits", "root", *(["wide"] if spanning else []))
     return rows.mapInArrow(lambda it: _candidates(it, percent, spanning), "a long, b long").distinct()
 
 
+def _wide(batches: Iterator[pa.RecordBatch], text: str, n: int, percent: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+    given: set[int] = set()
+    for batch in batches:
+        for _, data, offs in kernels.blocks(batch, text):
+            rows = {}
+            for tokens in shingle_sets(data, offs, n):
+                key = set_hash(tokens)
+                if len(tokens) and key not in given and in_bitmap(wanted.value, np.array([key]))[0]:
+                    if len(given) > 1 << 20:
+                        given = set()
+                    given.add(key)
+                    for level, _ in levels(len(tokens), percent):
+                        width, wide = wide_parity(tokens, level)
+                        rows[key, width] = wide
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.int32()), pa.array([*rows.values()], pa.binary())], ["set", "width", "wide"])
+
+
+def _widened(docs: DataFrame, text: str, n: int, percent: int, lists: DataFrame) -> DataFrame:
+    """lists with wide, a wider bitmap of each set."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(lists, "set"))
+    wide = docs.select(text).mapInArrow(lambda it: _wide(it, text, n, percent, wanted), "set long, width int, wide binary").dropDuplicates(["set", "width"])
+    return lists.withColumn("width", F.octet_length("bits")).join(wide.hint("merge"), ["set", "width"])
+
+
 # -- verification -------------------------------------------------------------
 
 
@@ -393,7 +435,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
     longer = lists.join(lists.groupBy("list", "part").agg(F.count("*").alias("n")).where("n > 2").drop("n").hint("merge"), ["list", "part"])
     known = longer.join(roots.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     mixed = known.groupBy("list", "part").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q").select("list", "part")
-    known = known.join(mixed.hint("merge"), ["list", "part"])
+    known = staged(known.join(mixed.hint("merge"), ["list", "part"]), "ngram-mixed")
+    known = _widened(docs, "text", words, percent, known)
     rest = staged(_pairs(known, percent, True).join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
     if not rest.isEmpty():
         more = _verified(docs, "text", words, percent, rest).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))

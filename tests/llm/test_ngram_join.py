@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kvlog.llm import ngram_join
@@ -72,6 +73,28 @@ def test_long_lists_in_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in ngram_join.jaccard_components(df, 4, 85).collect()) == brute(docs, 4, 85)
 
 
+def test_pairs_below_the_threshold_stay_in_the_list(monkeypatch):
+    """Sets of one template that differ a little more than allowed (0.78 and 0.79 against 0.8), and some that don't."""
+    monkeypatch.setattr(ngram_join, "PAIRS", 10)
+    r = np.random.default_rng(4)
+    some = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64)
+    for common in (525, 530):
+        shared = some(common)
+        sets = [np.unique(np.concatenate([shared, some(600 - common)])) for _ in range(60)]
+        sets += [np.unique(np.concatenate([x[:-20], some(20)])) for x in sets[:8]]
+        level = 600 .bit_length()
+        wide = [ngram_join.wide_parity(x, level) for x in sets]
+        assert all(w == len(ngram_join.parity(x, level)) for (w, _), x in zip(wide, sets, strict=True))
+        columns = [[7] * len(sets), [0] * len(sets), range(len(sets)), map(len, sets), (ngram_join.parity(x, level) for x in sets), range(len(sets)), (w for _, w in wide)]
+        rows = pa.RecordBatch.from_arrays([pa.array([*c]) for c in columns], ["list", "part", "set", "size", "bits", "root", "wide"])
+        out = [*ngram_join._candidates(iter([rows]), 80, True)]
+        assert all(b.num_rows <= 10 for b in out)
+        got = {p for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - both)}
+        assert linked and linked <= got
+        assert len(got - linked) < 0.1 * len(sets) ** 2 / 2
+
+
 def test_empty_table_and_one_of_each_group(spark):
     df = spark.createDataFrame(corpus(1, 60), "doc_id long, text string")
     assert ngram_join.jaccard_components(df.limit(0)).count() == 0
