@@ -67,8 +67,9 @@ def rules_of(text):
         if len(raw) >= start:
             ok = lo <= len(raw) / len(c.compress(raw)) <= hi
             break
-    for i in range(0, len(raw) - quality_rules.CHUNK + 1, quality_rules.CHUNK):
-        ok = ok and quality_rules.CHUNK_BAND[0] <= quality_rules.CHUNK / len(c.compress(raw[i : i + quality_rules.CHUNK])) <= quality_rules.CHUNK_BAND[1]
+    for width, lo, hi in quality_rules.CHUNK_BANDS:
+        for i in {*range(0, len(raw) - width, width), len(raw) - width} if len(raw) >= width else ():
+            ok = ok and lo <= width / len(c.compress(raw[i : i + width])) <= hi
     return len(words), sum(map(len, words)), sum(x in "#*$%&|<>" for x in text), dup, len(covered), failed, not failed and ok
 
 
@@ -78,6 +79,8 @@ def test_quality_rules(spark):
     texts = [None, "", " \n\t", "one", "a b c a b c", "spam " * 400, "word\n" * 60, "".join(r.choice("abcdefghijklmnop0123456789+/") for _ in range(9000)), "x" * 300_000]
     texts += [" ".join(r.choice(vocabulary) + str(r.randrange(k)) for _ in range(r.randrange(20, 2500))) for k in (3, 50, 10_000) for _ in range(6)]
     texts += ["line one here\nline two here\nline one here\n \n \n" + texts[-1], texts[-1] + " repeat this passage" * 500 + texts[-2]]
+    syllables = ["an", "the", "ing", "er", "on", "re", "st", "ed", "ly", "wh", "or", "ble", "sh", "in", "of", "th", "and", "ent", "al", "ou"]
+    texts += [" ".join("".join(r.choice(syllables) for _ in range(r.randrange(1, 5))) for _ in range(n)) for n in (60, 300, 2000)]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(1, "one", "x")], "doc_id long, text string, Kept string").repartition(3)
     out = quality_rules.quality_rules(df)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -105,6 +108,22 @@ def test_base64_and_repeated_passages():
             assert not quality_rules.compression(plain[:n] + code[:m], c)[2], (n, m)
 
 
+def test_only_the_bands_catch(spark):
+    """Texts that pass the word rules: trailing symbols on each word, a table of repeated columns, hexadecimal words; plain ones of the same lengths stay."""
+    r = random.Random(6)
+    syllables = ["an", "the", "ing", "er", "on", "re", "st", "ed", "ly", "wh", "or", "ble", "sh", "in", "of", "th", "and", "ent", "al", "ou"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(1, 5)))
+    docs = []
+    for n in (200, 700, 3000):
+        docs += [(len(docs), " ".join(word() for _ in range(n)), True)]
+        docs += [(len(docs), " ".join(word() + r.choice("%$*&#") * 3 for _ in range(n)), False)]
+        docs += [(len(docs), " ".join(f"{word()} status=open;owner=none" for _ in range(n)), False)]
+        docs += [(len(docs), " ".join(r.randbytes(8).hex() for _ in range(n)), False)]
+    got = quality_rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, good boolean")).collect()
+    assert not any(x["base_failed"] for x in got)
+    assert [x["doc_id"] for x in got if x["kept"] != x["good"]] == []
+
+
 def test_digest_of_kept_text(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     assert hashlib.sha256(line_dedup.drop_common_lines(df, 2).first()["text"].encode()).hexdigest() == hashlib.sha256(b"a\nb").hexdigest()
