@@ -9,16 +9,19 @@ r"""Line dedup with a sharded minimal perfect hash.
    key's rank: 64-bit fingerprints and saturating counts. A shard holds about
    ``SHARD_KEYS`` keys, so more lines make more shards, not larger ones.
 3. Documents probe: each distinct key of a document goes to its shard (16 bytes
-   and the doc id, no line text), dealt over as many salted copies of the shard
-   as the number of probes asks for. Hits come back as one short list for each
-   document that loses lines; no lines are joined.
+   and the doc id, no line text). How many probes a shard gets is known from its
+   counts; one that gets more than ``PROBES`` (a line of a third of all documents is
+   in it, say) is copied, and its probes are dealt over the copies. At most
+   ``HOT_SHARDS`` shards are: beyond 2**35 probes the bound grows with their number.
+   A task streams a shard and its probes, so it holds one shard and one batch. Hits
+   come back as one short list for each document that loses lines; no lines are joined.
 4. The texts are joined with their lists by merging, at any size, since the lists
    grow with the corpus, and rewritten.
 
 Defined cases: null or empty text is one empty line; keys shorter than
 ``min_chars`` code points are never dropped; a document is a row, so repeated
 rows count each; null ids are ids like any other; an empty table gives an empty
-result.
+result. Columns n_lines and n_dropped of the caller give way; others stay as they are.
 """
 
 from __future__ import annotations
@@ -32,10 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvlog.llm import kernels
-from kvlog.llm.shared import arrow_schema, staged, without
+from kvlog.llm.shared import arrow_schema, staged, unused, without
 
 SHARD_KEYS = 1 << 18
+#: Probes of one copy of a shard.
 PROBES = 1 << 19
+HOT_SHARDS = 1 << 16
 COUNT_MAX = 65535
 U64 = np.uint64
 _GAMMA = 2.0
@@ -132,19 +137,23 @@ def _count(batches: Iterator[pa.RecordBatch], text: str, min_chars: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(kernels.signed(h1[at])), pa.array(kernels.signed(h2[at])), pa.array(np.diff(np.append(at, len(h1))))], ["h1", "h2", "n"])
 
 
+_SHARD = "shard int, probes long, by_h1 boolean, hash binary, fingerprints binary, counts binary"
+_SHARD_ARROW = pa.schema([("shard", pa.int32()), ("probes", pa.int64()), ("by_h1", pa.bool_()), ("hash", pa.binary()), ("fingerprints", pa.binary()), ("counts", pa.binary())])
+
+
 def _shard(of: pa.Table) -> pa.Table:
-    """One row: the shard's perfect hash, fingerprints and counts."""
+    """One row: the shard's number of probes, perfect hash, fingerprints and counts."""
     h1, h2, n = (of.column(c).to_numpy() for c in ("h1", "h2", "n"))
     key = kernels.mix(h1.view(U64) ^ kernels.mix(h2.view(U64)))
-    if len(np.unique(key)) < len(key):  # 64 bits met; the 128 behind them are distinct, so such keys are told apart by h1 alone
+    by_h1 = len(np.unique(key)) < len(key)
+    if by_h1:  # 64 bits met; the 128 behind them are distinct, so such keys are told apart by h1 alone
         key = h1.view(U64)
     hashed = PerfectHash.build(key)
     at = hashed.index(key)
     fingerprint, count = np.zeros(len(key), U64), np.zeros(len(key), np.uint16)
     fingerprint[at] = h2.view(U64)
     count[at] = np.minimum(n, COUNT_MAX)
-    by_h1 = bool(len(key) and key is not None and np.array_equal(key, h1.view(U64)))
-    return pa.table({"shard": of.column("shard")[:1], "by_h1": [by_h1], "hash": [hashed.dump()], "fingerprints": [fingerprint.tobytes()], "counts": [count.tobytes()]}, schema=pa.schema([("shard", pa.int32()), ("by_h1", pa.bool_()), ("hash", pa.binary()), ("fingerprints", pa.binary()), ("counts", pa.binary())]))
+    return pa.table({"shard": of.column("shard")[:1], "probes": [int(n.sum())], "by_h1": [by_h1], "hash": [hashed.dump()], "fingerprints": [fingerprint.tobytes()], "counts": [count.tobytes()]}, schema=_SHARD_ARROW)
 
 
 def _probes(batches: Iterator[pa.RecordBatch], key: str, text: str, min_chars: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -157,24 +166,40 @@ def _probes(batches: Iterator[pa.RecordBatch], key: str, text: str, min_chars: i
             yield pa.RecordBatch.from_arrays([rows.column(key).take(pa.array(doc[pick])), pa.array(kernels.signed(h1[pick])), pa.array(kernels.signed(h2[pick]))], schema=schema)
 
 
-def _probe(probes: pa.Table, shards: pa.Table, min_docs: int, key: str) -> pa.Table:
-    out = [("id", probes.schema.field(key).type), ("h1", pa.int64())]
-    if not probes.num_rows or not shards.num_rows:
-        return pa.schema(out).empty_table()
-    h1, h2 = (probes.column(c).to_numpy().view(U64) for c in ("h1", "h2"))
-    k = h1 if shards.column("by_h1")[0].as_py() else kernels.mix(h1 ^ kernels.mix(h2))
-    fingerprint = np.frombuffer(shards.column("fingerprints")[0].as_py(), U64)
-    count = np.frombuffer(shards.column("counts")[0].as_py(), np.uint16)
-    at = PerfectHash.load(shards.column("hash")[0].as_py()).index(k)
-    hit = (at >= 0) & (fingerprint[at] == h2) & (count[at] >= min_docs)
-    return pa.table([probes.column(key).filter(pa.array(hit)), pa.array(h1[hit].view(np.int64))], schema=pa.schema(out))
+class _Shard:
+    """A shard as the probes see it."""
+
+    def __init__(self, row: dict) -> None:
+        self.by_h1, self.hash = row["by_h1"], PerfectHash.load(row["hash"])
+        self.fingerprints, self.counts = np.frombuffer(row["fingerprints"], U64), np.frombuffer(row["counts"], np.uint16)
+
+    def hits(self, h1: np.ndarray, h2: np.ndarray, min_docs: int) -> np.ndarray:
+        at = self.hash.index(h1 if self.by_h1 else kernels.mix(h1 ^ kernels.mix(h2)))
+        return (at >= 0) & (self.fingerprints[at] == h2) & (self.counts[at] >= min_docs)
+
+
+def _probe(batches: Iterator[pa.RecordBatch], min_docs: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, salt, id, h1, h2, arrays), sorted by shard and salt with the row of the arrays first: the probes that hit."""
+    shard = None
+    for batch in batches:
+        arrays = batch.column(5)
+        heads = np.flatnonzero(arrays.is_valid().to_numpy(zero_copy_only=False))
+        for a, b in zip([0, *heads], [*heads, batch.num_rows], strict=True):
+            if a in heads:
+                shard = _Shard(arrays[int(a)].as_py())
+                a += 1
+            if a < b:
+                part = batch.slice(a, b - a)
+                h1, h2 = (part.column(c).to_numpy().view(U64) for c in (3, 4))
+                on = pa.array(shard.hits(h1, h2, min_docs))
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(on) for c in (2, 3, 4)], schema=schema)
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch], text: str, min_chars: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offs in kernels.blocks(batch, text):
-            starts, ends, first, h1, _, long = _keys(data, offs, min_chars)
-            gone = rows.column(rows.schema.get_field_index("__gone")).to_pylist()
+            starts, ends, first, h1, h2, long = _keys(data, offs, min_chars)
+            gone = rows.column(rows.num_columns - 1).to_pylist()
             raw = data.tobytes()
             kept, dropped = [], []
             for i in range(len(offs) - 1):
@@ -183,14 +208,27 @@ def _rewrite(batches: Iterator[pa.RecordBatch], text: str, min_chars: int, schem
                     kept.append(raw[offs[i] : offs[i + 1]])
                     dropped.append(0)
                     continue
-                out = long[a:b] & np.isin(h1[a:b].view(np.int64), np.array(gone[i], np.int64))
+                pairs = {(x["h1"], x["h2"]) for x in gone[i]}
+                own = zip(h1[a:b].view(np.int64).tolist(), h2[a:b].view(np.int64).tolist(), strict=True)
+                out = long[a:b] & np.fromiter((x in pairs for x in own), bool, b - a)
                 kept.append(b"\n".join(raw[starts[j] : ends[j]] for j in range(a, b) if not out[j - a]))
                 dropped.append(int(out.sum()))
-            new = {text: pa.array(kept, pa.binary()).cast(pa.string()), "n_lines": pa.array(np.diff(first)), "n_dropped": pa.array(dropped, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else rows.column(rows.schema.get_field_index(f.name)) for f in schema], schema=schema)
+            place = rows.schema.get_field_index(text)
+            old = [rows.column(c) if c != place else pa.array(kept, pa.binary()).cast(pa.string()) for c in range(rows.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*old, pa.array(np.diff(first)), pa.array(dropped, pa.int64())], schema=schema)
+
+
+def _salted(shards: DataFrame, probes: DataFrame, copies: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """Both with salt: the shards once for each of their copies, each probe for one; copies has (shard, number) of those with more than one."""
+    of = F.lit(1)
+    if copies:
+        table = probes.sparkSession.createDataFrame(copies, "shard int, copies int")
+        shards, probes = (df.join(F.broadcast(table), "shard", "left") for df in (shards, probes))
+        of = F.coalesce("copies", F.lit(1))
+    return shards.withColumn("salt", F.explode(F.sequence(F.lit(0), of - 1))), probes.withColumn("salt", F.pmod(F.xxhash64("id", "h1"), of).cast("int"))
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, key: str = "doc_id", text: str = "text", shard_keys: int = SHARD_KEYS, probes_each: int = PROBES) -> DataFrame:
     """docs with the lines of keys in at least min_docs documents gone, plus n_lines (before) and n_dropped."""
     if not 0 < min_docs <= COUNT_MAX:
         raise ValueError(f"min_docs must be 1 to {COUNT_MAX}, where counts saturate")
@@ -200,19 +238,25 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     counts = slim.select("t").mapInArrow(lambda it: _count(it, "t", min_chars), "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
     counts = staged(counts, "line-counts")
     sizes = counts.agg(F.count("*").alias("keys"), F.sum("n").alias("probes")).first()
-    n_shards = max(1, -(-sizes["keys"] // SHARD_KEYS))
-    salts = max(1, -(-(sizes["probes"] or 0) // (n_shards * PROBES)))
+    n_shards = max(1, -(-sizes["keys"] // shard_keys))
     shard = F.pmod(F.col("h1"), F.lit(n_shards)).cast("int").alias("shard")
-    shards = counts.select(shard, "h1", "h2", "n").groupBy("shard").applyInArrow(_shard, "shard int, by_h1 boolean, hash binary, fingerprints binary, counts binary")
-    shards = staged(shards, "line-shards").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    shards = staged(counts.select(shard, "h1", "h2", "n").groupBy("shard").applyInArrow(_shard, _SHARD), "line-shards")
+    most = max(probes_each, -(-(sizes["probes"] or 0) // HOT_SHARDS))
+    hot = shards.where(F.col("probes") > most).select("shard", F.ceil(F.col("probes") / most).cast("int").alias("copies"))
     id_type = docs.schema[key].dataType
-    probe_schema = T.StructType([T.StructField("id", id_type), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
-    arrow = arrow_schema(spark, probe_schema)
-    probes = slim.mapInArrow(lambda it: _probes(it, "id", "t", min_chars, arrow), probe_schema)
-    probes = probes.select("id", "h1", "h2", shard, F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    hits = probes.groupBy("shard", "salt").cogroup(shards.groupBy("shard", "salt")).applyInArrow(lambda p, s: _probe(p, s, min_docs, "id"), T.StructType([T.StructField("id", id_type), T.StructField("h1", T.LongType())]))
-    gone = hits.groupBy(F.col("id").alias("__id")).agg(F.collect_set("h1").alias("__gone"))
-    joined = docs.join(staged(gone, "line-hits").hint("merge"), docs[key].eqNullSafe(F.col("__id")), "left").drop("__id")
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    hit_schema = T.StructType([T.StructField("id", id_type), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+    arrow = arrow_schema(spark, hit_schema)
+    probes = slim.mapInArrow(lambda it: _probes(it, "id", "t", min_chars, arrow), hit_schema).select(shard, "id", "h1", "h2")
+    shards, probes = _salted(shards, probes, [tuple(r) for r in hot.collect()])  # at most HOT_SHARDS rows
+    arrays = F.struct("by_h1", "hash", "fingerprints", "counts")
+    rows = shards.select("shard", "salt", F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), arrays.alias("arrays"))
+    kind = rows.schema["arrays"].dataType
+    rows = rows.unionAll(probes.select("shard", "salt", "id", "h1", "h2", F.lit(None).cast(kind)))
+    rows = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("arrays").isNull())
+    hits = rows.mapInArrow(lambda it: _probe(it, min_docs, arrow), hit_schema)
+    own, gone = unused(docs, "id"), unused(docs, "gone")
+    lists = hits.groupBy(F.col("id").alias(own)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
+    joined = docs.join(staged(lists, "line-hits").hint("merge"), docs[key].eqNullSafe(F.col(own)), "left").drop(own)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     arrow_out = arrow_schema(spark, schema)
     return joined.mapInArrow(lambda it: _rewrite(it, text, min_chars, arrow_out), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,11 +18,13 @@ from pyspark.sql.types import StructType
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the setting is missing (local tests), a temporary folder is used and
-    noted in the session, which is right for a single machine only.
+    Where the setting is missing, a session on one machine gets a temporary folder,
+    noted in the session; on a cluster that is an error, as executors couldn't read it.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = f"file://{tempfile.mkdtemp(prefix='kvlog-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
@@ -44,6 +47,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in gone])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"{name}_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,7 +100,8 @@ def left_out(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """docs without the rows whose key is in gone. Only rows that a bitmap doesn't clear are shuffled and compared."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(bitmap(gone.select(F.xxhash64(key).alias("h")), "h"))
-    marked = docs.select("*", F.xxhash64(key).alias("__h"))
+    own = unused(docs, "gone")
+    marked = docs.select("*", F.xxhash64(key).alias(unused(docs, "hash")))
     arrow = arrow_schema(spark, docs.schema)
 
     def pick(batches: Iterator[pa.RecordBatch], on: bool) -> Iterator[pa.RecordBatch]:
@@ -99,5 +111,5 @@ def left_out(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
     clear = marked.mapInArrow(lambda it: pick(it, False), docs.schema)
     rest = marked.mapInArrow(lambda it: pick(it, True), docs.schema)
-    other = gone.select(F.col(key).alias("__gone")).hint("merge")
-    return clear.unionAll(rest.join(other, rest[key] == F.col("__gone"), "left_anti"))
+    other = gone.select(F.col(key).alias(own)).hint("merge")
+    return clear.unionAll(rest.join(other, rest[key] == F.col(own), "left_anti"))

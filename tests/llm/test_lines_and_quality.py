@@ -49,6 +49,31 @@ def test_line_dedup(spark, min_docs):
     assert line_dedup.drop_common_lines(df.limit(0)).count() == 0
 
 
+def test_a_hot_line_is_spread(spark, monkeypatch):
+    """Many shards, one line in a third of all documents: its shard is copied, and no copy gets much more than its share."""
+    docs = [(i, f"own {i}\nother {i}" + "\nhot" * (i % 3 == 0)) for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    seen = []
+    salted = line_dedup._salted
+
+    def watch(shards, probes, copies):
+        out = salted(shards, probes, copies)
+        seen.append((copies, max(r["count"] for r in out[1].groupBy("shard", "salt").count().collect()), shards.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "_salted", watch)
+    got = line_dedup.drop_common_lines(df, 10, shard_keys=64, probes_each=128).collect()
+    assert sorted((x["doc_id"], x["n_lines"], x["n_dropped"], x["text"]) for x in got) == sorted(lines_of(docs, 10))
+    copies, most, shards = seen[0]
+    assert shards > 40 and len(copies) == 1 and copies[0][1] >= 4 and most <= 1.5 * 128
+
+
+def test_line_dedup_keeps_columns_of_its_names(spark):
+    df = spark.createDataFrame([(1, "a\nb", "x", "y", 7)], "doc_id long, text string, id string, gone string, __id int")
+    got = line_dedup.drop_common_lines(df, 2).first()
+    assert (got["id"], got["gone"], got["__id"], got["text"]) == ("x", "y", 7, "a\nb")
+
+
 def rules_of(text):
     text = text or ""
     words = WORD.findall(text)
