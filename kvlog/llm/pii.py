@@ -11,21 +11,28 @@ along the links by loopy belief propagation, so "(988) 555-2485" is found where
 "+1 (988) 555-2485" stands elsewhere in the document. A word whose belief in a kind
 reaches ``SURE`` becomes a span; neighbours of one kind make one span.
 
-The field is trained on base spans as labels, which words that repeat them share,
-by pseudo-likelihood, on the documents with nodes that come first by hash, ``SAMPLE`` at most; applied to all.
+The field is trained by pseudo-likelihood on the graphs of whole documents, as it is
+applied, with weak labels: words of base spans; words that look like personal data of
+a kind without being a base span (ten digits in telephone groups, ``name@host``); words
+that a name such as ``token =`` stands before, which make a fifth kind, secrets; and
+words that a link joins to one of these. Features of a node are its shape, its digits
+and the two words before it. The sample has the graphs of at most ``SAMPLE`` documents,
+those with nodes that come first by hash, each of at most ``NODES`` nodes (documents
+with more are labelled, but not trained on). Graphs are built where texts are read.
 
 Defined cases: null text has no spans; places are code points, ends exclusive;
 repeated rows are judged one by one; an empty table trains nothing and returns
-nothing. Runs of digits are matched from their first digit only, which finds the
-same matches and keeps long runs linear.
+nothing; columns of the caller that have the names of the output give way. Runs of
+digits are matched from their first digit only, which finds the same matches and keeps
+long runs linear.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvlog.llm.shared import arrow_schema, hashed_lowest, without
+from kvlog.llm.shared import arrow_schema, hash_bound, without
 
 KINDS = ("email", "ip", "card", "phone")
+#: Labels of the field: nothing, the kinds of base spans, secrets.
+LABELS = ("", *KINDS, "secret")
 SAMPLE = 2000
+NODES = 1024
 SURE = 0.9
-FEATURES = 1 << 12
+FEATURES = 1 << 13
+#: Links whose messages are worked out at once.
+EDGES = 1 << 16
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
@@ -47,6 +59,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NODE = re.compile(r"[0-9@+]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'"
+_SECRET = re.compile(r"(?i)(?:token|secret|key|passw(?:or)?d|pwd)[\"']?\s*[=:]\s*[\"']?(?=[^\s\"']*[0-9])[A-Za-z0-9+/_.-]{12,}")
+_GROUPED = re.compile(r"(?<![0-9.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+_AT_HOST = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+")
 
 Span = tuple[str, int, int]
 
@@ -86,7 +101,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def written(spans: list[Span]) -> str:
-    order = {k: i for i, k in enumerate(KINDS)}
+    order = {k: i for i, k in enumerate(LABELS)}
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (order[s[0]], s[1], s[2])))
 
 
@@ -98,18 +113,19 @@ def _shape(word: str) -> str:
 
 
 class Graph:
-    """Nodes of a text, their features, links and fixed labels (0 none, 1.. the kinds, -1 free)."""
+    """Nodes of a text, their features, links and fixed labels (0: free, else a kind)."""
 
     def __init__(self, text: str, base: list[Span]) -> None:
         words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
         nodes = [i for i, w in enumerate(words) if _NODE.search(w[2])]
         self.spans = [words[i][:2] for i in nodes]
         self.words = [words[i][2] for i in nodes]
+        self.before = [(words[i - 1][2] if i else "", words[i - 2][2] if i > 1 else "") for i in nodes]
         self.labels = np.zeros(len(nodes), np.int64)
-        starts = np.array([a for a, _ in self.spans], np.int64)
-        ends = np.array([b for _, b in self.spans], np.int64)
+        self._starts = np.array([a for a, _ in self.spans], np.int64)
+        self._ends = np.array([b for _, b in self.spans], np.int64)
         for kind, a, b in base:
-            self.labels[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b)] = KINDS.index(kind) + 1
+            self.labels[self._inside(a, b)] = LABELS.index(kind)
         self.chain = np.array([(k, k + 1) for k in range(len(nodes) - 1) if nodes[k + 1] == nodes[k] + 1], np.int64).reshape(-1, 2)
         last: dict[str, int] = {}
         skip = set()
@@ -120,35 +136,70 @@ class Graph:
                     skip.add((last[key], k))
                 last[key] = k
         self.skip = np.array(sorted(skip), np.int64).reshape(-1, 2)
-        self.features = np.array([[zlib.crc32(f.encode()) % FEATURES for f in self._features(k)] for k in range(len(nodes))], np.int64).reshape(-1, 7)
+        self.features = np.array([[zlib.crc32(f.encode()) % FEATURES for f in self._features(k)] for k in range(len(nodes))], np.int64).reshape(-1, 9)
+
+    def _inside(self, a: int, b: int) -> slice:
+        return slice(int(np.searchsorted(self._ends, a, "right")), int(np.searchsorted(self._starts, b)))
 
     def _features(self, k: int) -> list[str]:
         word = self.words[k].strip(_EDGE)
         shape, digits = _shape(word), sum(c.isdigit() for c in word)
-        return ["1", f"s{shape}", f"n{min(digits, 20)}", f"t{shape[:2]}", f"e{shape[-2:]}", f"c{sum(not c.isalnum() for c in word)}", f"l{min(len(word), 24)}"]
+        one, two = (w.strip("(").lower()[-12:] for w in self.before[k])
+        return ["1", f"s{shape}", f"n{min(digits, 20)}", f"t{shape[:2]}", f"e{shape[-2:]}", f"c{sum(not c.isalnum() for c in word)}", f"l{min(len(word), 24)}", f"p{one}", f"q{two}"]
+
+    def weak_labels(self, text: str) -> np.ndarray:
+        """The fixed labels and, where there is none, those of words that look like personal data or secrets, or are linked to such."""
+        out = self.labels.copy()
+
+        def put(label: int, a: int, b: int) -> None:
+            own = out[self._inside(a, b)]
+            own[own == 0] = label
+
+        for m in _SECRET.finditer(text):
+            put(LABELS.index("secret"), m.end() - 1, m.end())
+        for m in _GROUPED.finditer(text):
+            put(LABELS.index("phone"), m.start(), m.end())
+        for k, word in enumerate(self.words):
+            if not out[k] and _AT_HOST.fullmatch(word.strip(_EDGE)):
+                out[k] = LABELS.index("email")
+        for a, b in (*self.skip, *self.skip[::-1, ::-1]):  # what repeats such a word is no example of nothing
+            if out[a] > 0 and out[b] == 0:
+                out[b] = out[a]
+        return out
+
+
+class Example(NamedTuple):
+    """What training takes of a graph."""
+
+    features: np.ndarray
+    chain: np.ndarray
+    skip: np.ndarray
+    labels: np.ndarray
+
+    @classmethod
+    def of(cls, text: str) -> Example:
+        graph = Graph(text, base_spans(text))
+        return cls(graph.features, graph.chain, graph.skip, graph.weak_labels(text))
 
 
 class Field:
     def __init__(self) -> None:
-        n = len(KINDS) + 1
+        n = len(LABELS)
         self.unary = np.zeros((FEATURES, n))
         self.chain = np.zeros((n, n))
         self.skip = 3.0 * np.eye(n)
         self.skip[0, 0] = 0.5
 
-    def train(self, graphs: list[Graph], rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> None:
+    def train(self, examples: list[Example], rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> None:
         """Pseudo-likelihood: each label given its neighbours' labels."""
-        if not graphs:
+        if not sum(len(e.labels) for e in examples):
             return
         n = self.chain.shape[0]
-        base = np.cumsum([0, *(len(g.words) for g in graphs)])
-        x = np.concatenate([g.features for g in graphs])
-        y = np.concatenate([g.labels for g in graphs])
-        chain = np.concatenate([g.chain + b for g, b in zip(graphs, base, strict=False)])
-        skip = np.concatenate([g.skip + b for g, b in zip(graphs, base, strict=False)])
-        for a, b in (*skip, *skip[::-1, ::-1]):  # what repeats a base span is no example of nothing
-            if y[a] > 0 and y[b] == 0:
-                y[b] = y[a]
+        base = np.cumsum([0, *(len(e.labels) for e in examples)])
+        x = np.concatenate([e.features for e in examples])
+        y = np.concatenate([e.labels for e in examples])
+        chain = np.concatenate([e.chain + b for e, b in zip(examples, base, strict=False)])
+        skip = np.concatenate([e.skip + b for e, b in zip(examples, base, strict=False)])
         target = np.eye(n)[y]
         steps = [np.full(w.shape, 1e-3) for w in (self.unary, self.chain, self.skip)]
         prior = self.skip.copy()
@@ -160,9 +211,7 @@ class Field:
             np.add.at(logit, skip[:, 1], self.skip[y[skip[:, 0]]])
             p = np.exp(logit - logit.max(axis=1, keepdims=True))
             error = target - p / p.sum(axis=1, keepdims=True)
-            unary = np.zeros_like(self.unary)
-            for f in range(x.shape[1]):
-                np.add.at(unary, x[:, f], error)
+            unary = np.stack([np.bincount(x.reshape(-1), weights=np.repeat(error[:, c], x.shape[1]), minlength=FEATURES) for c in range(n)], axis=1)
             links, skips = np.zeros((n, n)), np.zeros((n, n))
             np.add.at(links.T, y[chain[:, 1]], error[chain[:, 0]])
             np.add.at(links, y[chain[:, 0]], error[chain[:, 1]])
@@ -174,7 +223,7 @@ class Field:
                 s += g * g
                 w += rate * g / np.sqrt(s)
 
-    def beliefs(self, graph: Graph, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
+    def beliefs(self, graph: Graph, rounds: int = 30, damping: float = 0.2) -> np.ndarray:
         """Marginals of the nodes by loopy sum-product; nodes of base spans are fixed."""
         n = self.chain.shape[0]
         local = self.unary[graph.features].sum(axis=1)
@@ -184,24 +233,25 @@ class Field:
         a = np.concatenate([graph.chain[:, 0], graph.skip[:, 0], graph.chain[:, 1], graph.skip[:, 1]])
         b = np.concatenate([graph.chain[:, 1], graph.skip[:, 1], graph.chain[:, 0], graph.skip[:, 0]])
         half = len(a) // 2
-        which = np.concatenate([np.zeros(len(graph.chain), np.int64), np.ones(len(graph.skip), np.int64)])
-        pair = np.stack([self.chain, self.skip])[which]
-        pair = np.concatenate([pair, pair.transpose(0, 2, 1)])  # [edge, from, to]
+        kind = np.tile(np.concatenate([np.zeros(len(graph.chain), np.int64), np.ones(len(graph.skip), np.int64)]), 2)
+        kind[half:] += 2
+        pairs = np.stack([self.chain, self.skip, self.chain.T, self.skip.T])  # [kind, from, to]
         message = np.zeros((len(a), n))
         back = np.concatenate([np.arange(half) + half, np.arange(half)])
+        total = local
         for _ in range(rounds if len(a) else 0):
-            total = local.copy()
-            np.add.at(total, b, message)
-            send = (total[a] - message[back])[:, :, None] + pair
-            top = send.max(axis=1)
-            new = top + np.log(np.exp(send - top[:, None, :]).sum(axis=1))
+            new = np.empty_like(message)
+            for i in range(0, len(a), EDGES):
+                part = slice(i, i + EDGES)
+                send = (total[a[part]] - message[back[part]])[:, :, None] + pairs[kind[part]]
+                top = send.max(axis=1)
+                new[part] = top + np.log(np.exp(send - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
             change = np.abs(new - message).max()
             message = damping * message + (1 - damping) * new
-            if change < 1e-3:
+            total = local + np.stack([np.bincount(b, weights=message[:, c], minlength=len(local)) for c in range(n)], axis=1)
+            if change < 1e-4:
                 break
-        total = local.copy()
-        np.add.at(total, b, message)
         p = np.exp(total - total.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
@@ -235,30 +285,36 @@ def all_spans(text: str, field: Field, base: list[Span], sure: float = SURE) ->
             a += 1
         while a < b and text[b - 1] in _EDGE:
             b -= 1
-        if a < b and not any(x < b and a < y for _, x, y in base):
-            more.append((KINDS[label - 1], a, b))
+        if a < b:  # a run has free nodes only, so no base span is in it
+            more.append((LABELS[label], a, b))
     return base + more
 
 
-def train_field(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
-    """A field trained on at most `sample` documents that have nodes, those whose key and text hash lowest."""
-    rows = hashed_lowest(docs.where(F.col(text).rlike("[0-9@+]")).select(F.col(key).alias("k"), F.col(text).alias("t")), sample, "k", "t")
-    pieces = rows.select(F.regexp_extract_all("t", F.lit(r"((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){0,2}[^\x20\x09-\x0D]*[0-9@+][^\x20\x09-\x0D]*(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){0,4})"), 1).alias("p"))
-    graphs = []
-    for row in pieces.toLocalIterator():
-        own = "\n".join(row["p"][:200])
-        graph = Graph(own, base_spans(own))
-        if len(graph.words):
-            graphs.append(graph)
+def train_field(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, nodes: int = NODES) -> Field:
+    """A field trained on the graphs of at most `sample` documents with 1 to `nodes` nodes, those whose key and text hash lowest."""
+    own = docs.where(F.col(text).rlike("[0-9@+]")).select(F.xxhash64(key, text).alias("h"), F.col(text).alias("t"))
+
+    def graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                example = Example.of(t.as_py())
+                if len(example.labels) <= nodes:
+                    rows.append((h, *(x.astype(np.int16).tobytes() for x in example)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64() if not c else pa.binary()) for c in range(5)], ["h", "features", "chain", "skip", "labels"])
+
+    found = own.where(F.col("h") <= hash_bound(own.count(), sample)).mapInArrow(graphs, "h long, features binary, chain binary, skip binary, labels binary").dropDuplicates(["h"])
+    rows = sorted(found.collect(), key=lambda r: r["h"])[:sample]  # somewhat over `sample` rows are below the bound
+    read = lambda raw, *shape: np.frombuffer(raw, np.int16).astype(np.int64).reshape(shape)
     field = Field()
-    field.train(graphs)
+    field.train([Example(read(r["features"], -1, 9), read(r["chain"], -1, 2), read(r["skip"], -1, 2), read(r["labels"], -1)) for r in rows])
     return field
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", field: Field | None = None) -> DataFrame:
-    """docs with n_email, n_ip, n_card, n_phone (base), base_spans and spans (all, written kind:start:end)."""
+    """docs with n_email, n_ip, n_card, n_phone (base), base_spans and spans (all, written kind:start:end), secrets (spans of the fifth kind, likewise) and has_pii (whether there is any)."""
     spark = docs.sparkSession
-    output = [*((f"n_{k}", T.LongType()) for k in KINDS), ("base_spans", T.StringType()), ("spans", T.StringType())]
+    output = [*((f"n_{k}", T.LongType()) for k in KINDS), ("base_spans", T.StringType()), ("spans", T.StringType()), ("secrets", T.StringType()), ("has_pii", T.BooleanType())]
     docs = without(docs, *(c for c, _ in output))
     sent = spark.sparkContext.broadcast(field or train_field(docs, key, text))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in output)])
@@ -271,12 +327,10 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", field: Fi
             for t in batch.column(place):
                 own = t.as_py() or ""
                 base = base_spans(own) if _NODE.search(own) else []
-                rows.append((*(sum(s[0] == k for s in base) for k in KINDS), written(base), written(all_spans(own, sent.value, base))))
+                every = all_spans(own, sent.value, base)
+                spans, secrets = [s for s in every if s[0] in KINDS], [s for s in every if s[0] not in KINDS]
+                rows.append((*(sum(s[0] == k for s in base) for k in KINDS), written(base), written(spans), written(secrets), bool(every)))
             new = [pa.array([r[c] for r in rows], arrow.field(name).type) for c, (name, _) in enumerate(output)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=arrow)
 
     return docs.mapInArrow(find, schema)
-
-
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

@@ -70,10 +70,13 @@ def hashed_lowest(df: DataFrame, n: int, *by: str) -> DataFrame:
     Rows beyond a bound that leaves some more than n are passed over where they
     are read, so what meets in the last task doesn't grow with the table.
     """
-    rows = df.count()
     key = F.xxhash64(*by)
-    bound = -(1 << 63) + int(min(1.0, (1.5 * n + 100) / max(1, rows)) * ((1 << 64) - 1))
-    return df.where(key <= F.lit(min(bound, (1 << 63) - 1))).orderBy(key, *by).limit(n)
+    return df.where(key <= hash_bound(df.count(), n)).orderBy(key, *by).limit(n)
+
+
+def hash_bound(rows: int, n: int) -> int:
+    """A 64-bit hash that leaves some more than n of so many distinct rows below it."""
+    return min((1 << 63) - 1, -(1 << 63) + int(min(1.0, (1.5 * n + 100) / max(1, rows)) * ((1 << 64) - 1)))
 
 
 #: Bits of the bitmaps that are sent to tasks: 2 MB, whatever the number of keys.

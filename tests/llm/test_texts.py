@@ -53,9 +53,85 @@ def test_field_marks_what_repeats(spark):
     text = dict(rows)[50]
     added = [s.split(":") for s in set(out[50]["spans"].split(",")) - set(out[50]["base_spans"].split(","))]
     assert [(k, text[int(a) : int(b)]) for k, a, b in added] == [("phone", "(988) 555-2485")]
+    assert not any(out[d]["has_pii"] or out[d]["secrets"] for d in (51, 52, 53))
+    assert out[50]["has_pii"]
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def marginals(field, graph):
+    """By enumeration of all labellings."""
+    n = field.chain.shape[0]
+    total = np.zeros((len(graph.words), n))
+    local = field.unary[graph.features].sum(axis=1)
+    for labels in itertools.product(range(n), repeat=len(graph.words)):
+        if any(f and f != x for f, x in zip(graph.labels, labels, strict=True)):
+            continue
+        score = sum(local[k, x] for k, x in enumerate(labels) if not graph.labels[k])
+        score += sum(field.chain[labels[a], labels[b]] for a, b in graph.chain) + sum(field.skip[labels[a], labels[b]] for a, b in graph.skip)
+        for k, x in enumerate(labels):
+            total[k, x] += np.exp(score)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(
+    ("text", "error"),
+    [
+        ("10.2.3.4 port 80 81 82", 1e-3),  # a chain
+        ("80 x 10.2.3.4 y 81 and 80 again", 1e-3),  # a skip link
+        ("id 4455 4466 then 4455 4477", 0.1),  # a circle of chain and skip links
+        ("4455 4466 4455 4466 4455", 0.1),
+    ],
+)
+def test_beliefs_by_enumeration(text, error):
+    r = np.random.default_rng(7)
+    field = pii.Field()
+    field.unary = r.normal(0, 0.3, field.unary.shape)
+    field.chain = r.normal(0, 0.3, field.chain.shape)
+    skip = r.normal(0, 0.3, field.skip.shape)
+    field.skip = (skip + skip.T) / 2 + 0.5 * np.eye(len(skip))
+    graph = pii.Graph(text, pii.base_spans(text))
+    assert np.abs(field.beliefs(graph) - marginals(field, graph)).max() < error
+
+
+def test_recall_of_what_repeats(spark):
+    """Held-out documents with a repeat that no pattern finds, far from the span that it repeats, and decoys; and secrets without their name."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice(["an", "the", "ing", "er", "on", "re"]) for _ in range(r.randrange(1, 5)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+
+    def one(i):
+        a, b, c = r.randrange(200, 999), r.randrange(200, 999), r.randrange(1000, 9999)
+        key = r.randbytes(20).hex()
+        kind = i % 3
+        if kind == 0:
+            return f"{prose(30)} +1 ({a}) {b}-{c} {prose(80)}. ", f"({a}) {b}-{c}", "spans"
+        if kind == 1:
+            host = f"{r.randrange(1, 255)}.{r.randrange(1, 255)}.{r.randrange(1, 255)}"
+            return f"{prose(20)} {host}.{c % 255} {prose(60)} mail{c}@{word()}.example.com {prose(9)} ", f"MAIL{c}@", "spans"
+        return f'{prose(20)} token = "{key}" {prose(60)} ', f'"{key}"', "secrets"
+
+    docs, wanted = [], {}
+    for i in range(400):
+        head, repeat, column = one(i)
+        decoy = f" part {r.randrange(10, 99)} of {r.randrange(100, 999)}, version {r.randrange(9)}.{r.randrange(9)} "
+        if i % 3 == 1:  # the whole address again, in capitals
+            address = re.search(r"mail\S+", head)[0]
+            repeat = f"<{address.upper()}>" if i % 2 else f"({address})"
+        body = head + decoy + prose(30) + " "
+        docs.append((i, body + repeat + " " + prose(20)))
+        wanted[i] = (column, len(body), len(body) + len(repeat))
+    train, test = docs[:200], docs[200:]
+    field = pii.train_field(spark.createDataFrame(train, "doc_id long, text string"))
+    found = false = 0
+    for x in pii.find_pii(spark.createDataFrame(test, "doc_id long, text string"), field=field).collect():
+        column, a, b = wanted[x["doc_id"]]
+        spans = [tuple(map(int, s.split(":")[1:])) for s in x[column].split(",") if s]
+        found += any(p < b and a < q for p, q in spans)
+        every = {s for c in ("spans", "secrets") for s in x[c].split(",") if s} - set(x["base_spans"].split(","))
+        false += any("part " in x["text"][int(p) - 5 : int(q)] or "version " in x["text"][int(p) - 8 : int(q)] for _, p, q in (s.split(":") for s in every))
+    assert found >= 0.95 * len(test) and false <= 0.02 * len(test)
+
+
 def test_chain_on_held_out_documents(spark):
     r = random.Random(3)
     plain, bad = [f"word{i}" for i in range(400)], [f"slur{i}" for i in range(6)]
