@@ -75,11 +75,25 @@ CHATS = (
 def test_chat_round_trip(spark):
     df = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").repartition(4)
     for limit in (chat_tree.MAX_TOKENS, 60):
-        got = {r["conv_id"]: tuple(r)[1:] for r in chat_tree.read_packs(chat_tree.packs(df, max_tokens=limit)).collect()}
-        assert got == digests(CHATS)
+        packs = chat_tree.packs(df, max_tokens=limit)
+        rows = chat_tree.read_packs(packs).collect()
+        assert {r["conv_id"]: tuple(r)[1:] for r in rows} == digests(CHATS) and len(rows) == len(digests(CHATS))
+        assert max(len(p["tokens"]) for p in packs.collect()) <= limit
     assert chat_tree.packs(df.limit(0)).count() == 0
 
 
+def test_long_conversations_and_rows_without_id(spark, monkeypatch):
+    """A conversation of very many turns is cut where tasks part and put together again; rows without id are conversations of their own."""
+    monkeypatch.setattr(chat_tree, "TURNS", 16)
+    long = [(1, t, ("user", "assistant")[t % 2], f"turn {t} <{t}>") for t in range(400)]
+    lone = [(None, 0, "assistant", "alone"), (None, 0, "assistant", "alone"), (None, None, None, None), (None, 3, "assistant", "<|" * 500)]
+    df = spark.createDataFrame(long + lone, "conv_id long, turn long, role string, text string").repartition(4)
+    wanted = [(1, *digests(long)[1]), *((None, *digests([(0, x[1] or 0, *x[2:])])[0]) for x in lone)]
+    for limit in (chat_tree.MAX_TOKENS, 100):
+        packs = chat_tree.packs(df, max_tokens=limit)
+        assert sorted(map(tuple, chat_tree.read_packs(packs).collect()), key=repr) == sorted(wanted, key=repr)
+
+
 def test_packs_share_turns_and_say_what_is_seen(spark):
     df = spark.createDataFrame([x for x in CHATS if 0 <= x[0] < 30], "conv_id long, turn long, role string, text string").coalesce(1)
     packs = chat_tree.packs(df).collect()
