@@ -8,18 +8,22 @@ suffixes at the same place inside them, and about two suffixes in 240 are chosen
 An anchor is a chosen suffix together with the windows that chose it, which start
 one after the other, and the bytes that they cover, its reach.
 
-A batch of documents becomes a suffix array: its anchors ordered by the
-fingerprint of the seed (hash order instead of byte order: only matches beyond a
-seed count). `SuffixIndex` keeps a family of such arrays,
-the levels. A new batch is merge-scanned against all levels: the sorted streams
-run together, and seeds that meet are long matches. Then levels of equal size are
-merged into one of twice the size, so there are at most log2(batches) levels and
-an anchor is rewritten as often as that. Suffixes of one seed are one entry with
-their number, added up before the shuffle: a passage in a third of all documents
-is as short there as any other.
-
-Anchors whose whole reach occurs twice are settled by that. Where a seed has
-different reaches, its anchors' bytes are fetched and the windows compared: each
+A batch of documents becomes a suffix array: its suffixes in the order of the names
+(64-bit hashes) of their first ``SEED`` bytes, then of their whole reach, so those that
+begin alike are neighbours, and those that are alike as far as they matter are one
+entry with their number, added up before the shuffle. Names take the place of the bytes
+themselves, which would be several times the corpus. `SuffixIndex` keeps a family of such
+arrays, the levels, in a folder; it can be opened again for later batches. A new batch is
+merge-scanned against all levels: the arrays are dealt in ranges of their order and the
+sorted streams run together; a run of neighbours with ``SEED`` bytes in common is a match,
+and it says whether all of the run are alike to the end of their reach. Runs that go on
+where tasks part are put together from one row a task. Then levels of equal size are
+merged into one of twice the size, so there are at most log2(batches) levels and an entry
+is rewritten as often as that. No run is held in memory, however many suffixes it has.
+
+The matches give each anchor the length it has in common with others: its reach, or
+the seed. Reaches that occur twice are repeats as a whole. Where a run has different
+reaches, their bytes are fetched, each once, and the windows compared: each
 window has 120 bytes or more beside the seed on the right or on the left, so
 anchors meet by seed and the 120 bytes on that side, and windows of one offset
 that are equal are repeats. Up to ``GROUP`` reaches meet in a task with their bytes;
@@ -27,19 +31,25 @@ at the edge of a passage that very many documents share there are more, and of t
 only the hashes of the windows are dealt out, counted before the shuffle and joined
 back where two reaches have one. No task holds more than ``GROUP`` reaches.
 
+Besides, ``has_repeats`` says whether a document shares a passage with another one:
+true if they share ``PASSAGE`` words in a row, false if no ``GRAM`` (in between, as the
+choice of words falls). Runs of ``GRAM`` words are names here, of which the smallest of
+each ``PASSAGE`` words is indexed. A row repeated in full is no other document.
+
 Documents are told apart by id and hash of the text. Those without repeats are
 not shuffled; a bitmap of fixed size says which documents have any.
 
 Defined cases: null text has no bytes; texts shorter than ``length`` keep all;
 matches never cross documents, but both may be in one; rows repeated in full are
 repeats of each other; the kept bytes are binary, as a cut may split a character;
-an empty table gives an empty result.
+an empty table gives an empty result; columns of the caller that have the names of
+the output give way.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +59,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvlog.llm import kernels
-from kvlog.llm.shared import arrow_schema, bitmap, in_bitmap, staged, without
+from kvlog.llm.shared import arrow_schema, bitmap, fresh_path, in_bitmap, staged, unused, without
 
 U64 = np.uint64
 LENGTH = 400
 SEED = 160
+#: Batches that a table is indexed in, and files of anchors beyond which there are more.
 BATCHES = 4
-#: Long texts are searched in pieces of this many bytes (and length - 1 more).
-PIECE = 1 << 20
+BATCH_FILES = 4096
+#: Long texts are searched in pieces of this many bytes (and length - 1 more), short ones in blocks.
+PIECE = 1 << 18
+#: Words that make a passage, and those of a name.
+PASSAGE, GRAM = 51, 32
 #: Windows whose hashes are held at once while reaches are compared.
 WINDOWS = 1 << 21
 #: Rows of reaches that are compared in one task, with their bytes.
@@ -122,95 +136,160 @@ def _pieces(batch: pa.RecordBatch, column: str, length: int) -> Iterator[tuple[p
             yield rows, part, np.array([0, len(part)]), np.array([at])
 
 
-_ANCHOR = "id {id}, th long, batch int, seed long, reach long, place long, first long, last long"
+_ANCHOR = "th long, seed long, reach long, place long, first long, last long"
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, n_batches: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows id, text, th in; anchors out."""
     for batch in batches:
         for rows, data, offs, shift in _pieces(batch, "text", length):
             text, spot, a, b, seed, reach = anchors(data, offs, length)
             base = offs[:-1][text] - shift[text]
             take = pa.array(text)
-            th = rows.column(2).take(take)
-            group = th.to_numpy().view(U64) % U64(n_batches)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), th, pa.array(group.astype(np.int32)), *(pa.array(kernels.signed(x)) for x in (seed, reach)), pa.array(spot - base), pa.array(a - base), pa.array(b - base)], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(2).take(take), *(pa.array(kernels.signed(x)) for x in (seed, reach)), pa.array(spot - base), pa.array(a - base), pa.array(b - base)], schema=schema)
 
 
-class SuffixIndex:
-    """The family of levels: arrays (seed, n) in seed order, n suffixes each, every one a table in the shared folder."""
+def anchor_table(docs: DataFrame, length: int) -> DataFrame:
+    """The anchors of documents (id, text, th), as a table."""
+    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string(_ANCHOR).fields])
+    arrow = arrow_schema(docs.sparkSession, schema)
+    return staged(docs.select("id", "text", "th").mapInArrow(lambda it: _anchor_rows(it, length, arrow), schema), "suffix-anchors")
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.levels: list[tuple[int, DataFrame]] = []  # (batches inside, array)
 
-    @staticmethod
-    def _array(entries: DataFrame) -> DataFrame:
-        """Equal seeds become one entry before they are shuffled."""
-        return staged(entries.groupBy("seed").agg(F.sum("n").alias("n")).sortWithinPartitions("seed"), "suffix-level")
+class SuffixIndex:
+    """The family of levels: arrays (seed, reach, n) in that order, n suffixes each, and what was added, in a folder.
+
+    `save` writes the list of tables as a new generation; opening the folder reads the
+    last one, so a batch that was cut short isn't in it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.path = spark, path or fresh_path(spark, "suffix-index")
+        self.levels: list[tuple[int, str]] = []  # (batches inside, folder of the array)
+        self.texts: list[str] = []
+        self.anchors: list[str] = []
+        self.generation = 0
+        fs, where = self._fs(f"{self.path}/family")
+        if fs.exists(where):
+            rows = spark.read.parquet(f"{self.path}/family").orderBy("place").collect()  # a few rows for each generation
+            self.generation = max(r["generation"] for r in rows)
+            last = [r for r in rows if r["generation"] == self.generation]
+            self.levels = [(r["size"], r["folder"]) for r in last if r["kind"] == "level"]
+            self.texts, self.anchors = ([r["folder"] for r in last if r["kind"] == k] for k in ("texts", "anchors"))
+
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def save(self) -> None:
+        self.generation += 1
+        rows = [("level", size, folder) for size, folder in self.levels] + [(k, 0, f) for k, folders in (("texts", self.texts), ("anchors", self.anchors)) for f in folders]
+        table = self.spark.createDataFrame([(self.generation, i, *r) for i, r in enumerate(rows)], "generation int, place int, kind string, size int, folder string")
+        table.coalesce(1).write.mode("append").parquet(f"{self.path}/family")
+
+    def put(self, df: DataFrame, what: str) -> str:
+        folder = f"{self.path}/{what}-{self.generation + 1}-{len(self.levels)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(folder)
+        return folder
+
+    def table(self, *folders: str) -> DataFrame:
+        return self.spark.read.parquet(*folders)
+
+    def _array(self, entries: DataFrame) -> str:
+        """Equal suffixes become one entry before they are shuffled, and entries are put in order."""
+        return self.put(entries.groupBy("seed", "reach").agg(F.sum("n").alias("n")).sortWithinPartitions("seed", "reach"), "level")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Scan a batch (seed) against the levels and itself, then merge it in; returns the seeds that met, as a table."""
-        array = self._array(batch.select("seed", F.lit(1).cast("long").alias("n")))
-        together = array.select("seed", "n", F.lit(1).alias("new"))
-        for _, level in self.levels:
-            together = together.unionAll(level.select("seed", "n", F.lit(0).alias("new")))
-        met = staged(together.repartition("seed").sortWithinPartitions("seed").mapInArrow(_meeting, "seed long"), "suffix-met")
+        """Scan a batch (seed, reach) against the levels and itself, then merge it in; returns its matches (seed, mixed: whether reaches differ) as a table."""
+        array = self._array(batch.select("seed", "reach", F.lit(1).cast("long").alias("n")))
+        together = self.table(array).select("seed", "reach", "n", F.lit(1).cast("long").alias("new"))
+        if self.levels:
+            together = together.unionAll(self.table(*(folder for _, folder in self.levels)).select("seed", "reach", "n", F.lit(0).cast("long").alias("new")))
+        runs = together.repartitionByRange("seed", "reach").sortWithinPartitions("seed", "reach").mapInArrow(_runs_of, "seed long, n long, new long, least long, most long, edge boolean")
+        runs = self.table(self.put(runs, "runs"))
+        # a run that goes on in the next task has a row in each
+        parted = runs.where("edge").groupBy("seed").agg(F.sum("n").alias("n"), F.max("new").alias("new"), F.min("least").alias("least"), F.max("most").alias("most"))
+        met = runs.where("NOT edge").drop("edge").unionByName(parted).where("n > 1 AND new > 0").select("seed", F.expr("least <> most").alias("mixed"))
         size, merged = 1, [array]
         while self.levels and self.levels[-1][0] == size:
             merged.append(self.levels.pop()[1])
             size *= 2
-        self.levels.append((size, self._array(reduce(DataFrame.unionAll, merged)) if len(merged) > 1 else array))
-        return met
+        self.levels.append((size, self._array(self.table(*merged)) if len(merged) > 1 else array))
+        return staged(met, "suffix-met")
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries (seed, reach, n, new) in order: a row for each run of one seed that isn't alone; the first and the last run may go on in other tasks (edge)."""
+    names = ["seed", "n", "new", "least", "most", "edge"]
+    last, edge = None, True  # figures of the run that may go on, and whether it is the task's first
 
+    def rows(seed, n, new, least, most, edge) -> pa.RecordBatch:
+        on = (n > 1) | edge
+        return pa.RecordBatch.from_arrays([*(pa.array(x[on]) for x in (seed, n, new, least, most)), pa.array(edge[on])], names)
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a stream (seed, n, new) in seed order: the seeds of two suffixes or more, one of them new."""
-    last = None  # (seed, n, new) of the run that may go on
     for batch in batches:
         if not batch.num_rows:
             continue
-        seed, n, new = (batch.column(c).to_numpy() for c in range(3))
+        seed, reach, n, new = (batch.column(c).to_numpy() for c in range(4))
+        at = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+        figures = [seed[at], np.add.reduceat(n, at), np.maximum.reduceat(new, at), np.minimum.reduceat(reach, at), np.maximum.reduceat(reach, at)]
         if last is not None:
-            seed, n, new = (np.concatenate([[w], x]) for w, x in zip(last, (seed, n, new), strict=True))
-        first = np.ones(len(seed), bool)
-        first[1:] = seed[1:] != seed[:-1]
-        at = np.flatnonzero(first)
-        keys, count, fresh = seed[at], np.add.reduceat(n, at), np.maximum.reduceat(new, at)
-        last = keys[-1], count[-1], fresh[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[:-1][(count[:-1] > 1) & (fresh[:-1] > 0)])], ["seed"])
-    if last is not None and last[1] > 1 and last[2]:
-        yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64())], ["seed"])
-
-
-def _reaches(batches: Iterator[pa.RecordBatch], length: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
-    """The bytes of anchors whose seed has different reaches, by the seed and what is beside it on either side; a task gives a reach once."""
-    given: set[tuple[int, int]] = set()
-    seed, side = min(SEED, length), -(-(length - min(SEED, length)) // 2)
+            if last[0] == figures[0][0]:
+                for x, w, f in zip(figures[1:], last[1:], (np.add, np.maximum, np.minimum, np.maximum), strict=True):
+                    x[0] = f(x[0], w)
+            else:
+                figures = [np.concatenate([[w], x]) for w, x in zip(last, figures, strict=True)]
+        last = [x[-1] for x in figures]
+        if len(figures[0]) > 1:
+            first = np.zeros(len(figures[0]) - 1, bool)
+            first[0], edge = edge, False
+            yield rows(*(x[:-1] for x in figures), first)
+    if last is not None:
+        yield rows(*(np.array([w]) for w in last), np.array([True]))
+
+
+_BESIDE = "key long, seed long, reach long, right boolean, before long, bytes binary"
+
+
+def _reaches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows (text, place, first, last, seed, reach), a document's text before its anchors: the bytes of the reaches, by the seed and what is beside it on either side."""
+    seed_size = min(SEED, length)
+    side = -(-(length - seed_size) // 2)
+    raw, prefix, inverse = b"", None, None
     for batch in batches:
-        for _, data, offs, _ in _pieces(batch, "text", length):
-            _, spot, a, b, seeds, reach = anchors(data, offs, length)
-            on = np.flatnonzero(in_bitmap(wanted.value, seeds.view(np.int64)))
-            if len(given) > 1 << 19:
-                given = set()
-            fresh = []
-            for i, pair in zip(on.tolist(), zip(seeds[on].tolist(), reach[on].tolist(), strict=True), strict=True):
-                if pair not in given:
-                    given.add(pair)
-                    fresh.append(i)
-            on = np.array(fresh, np.int64)
-            if not len(on):
+        text = batch.column(0)
+        heads = text.is_valid().to_numpy(zero_copy_only=False)
+        out = [[] for _ in range(6)]
+        held = 0
+        for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 6)), strict=True)):
+            if heads[i]:
+                raw, prefix = text[i].as_py().encode(), None
                 continue
-            prefix, inverse = _prefix(data)
-            raw = data.tobytes()
-            spot, a, b, seeds, reach = spot[on], a[on], b[on], seeds[on], reach[on]
+            spot, a, b, seed, reach = row
+            if prefix is None:
+                prefix, inverse = _prefix(np.frombuffer(raw, np.uint8))
             for right in (True, False):
-                lo, hi = (spot, spot + seed + side) if right else (spot - side, spot + seed)
-                fits = (hi <= b + length) if right else (lo >= a)
-                lo, hi = lo[fits], hi[fits]
-                key = kernels.mix(_hash(prefix, inverse, lo, hi) ^ U64(right)).view(np.int64)
-                own = [x[fits] for x in (spot, a, b, seeds, reach)]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kernels.signed(own[3])), pa.array(kernels.signed(own[4])), pa.array(np.full(len(key), right)), pa.array(own[0] - own[1]), pa.array([raw[x : y + length] for x, y in zip(own[1], own[2], strict=True)], pa.binary())], ["key", "seed", "reach", "right", "before", "bytes"])
+                lo, hi = (spot, spot + seed_size + side) if right else (spot - side, spot + seed_size)
+                if hi <= b + length if right else lo >= a:
+                    key = kernels.mix(_hash(prefix, inverse, np.array([lo]), np.array([hi])) ^ U64(right)).view(np.int64)[0]
+                    for column, value in zip(out, (key, seed, reach, right, spot - a, raw[a : b + length]), strict=True):
+                        column.append(value)
+                    held += b + length - a
+            if held > 1 << 22:
+                yield _beside(out)
+                out, held = [[] for _ in range(6)], 0
+        yield _beside(out)
+
+
+def _beside(columns: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "seed", "reach", "right", "before", "bytes"])
+
+
+def _with_bit(batches: Iterator[pa.RecordBatch], bits: Broadcast, place: int, on: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose hash in a column has (or hasn't) its bit set."""
+    for batch in batches:
+        yield batch.filter(pa.array(in_bitmap(bits.value, batch.column(place).to_numpy()) == on))
 
 
 def _windows(raw: bytes, before: int, right: bool, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,11 +359,6 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield out()
 
 
-def _picked(batches: Iterator[pa.RecordBatch], large: Broadcast, on: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.filter(pa.array(in_bitmap(large.value, batch.column(0).to_numpy()) == on))
-
-
 def _spread(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """A row for each window of a reach: its hash, and where it starts in the reach."""
     for batch in batches:
@@ -310,7 +384,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _by_size(beside: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The reaches of keys with up to GROUP rows, and the others (with those that share a bit with them)."""
     large = beside.sparkSession.sparkContext.broadcast(bitmap(beside.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "key"))
-    return tuple(beside.mapInArrow(lambda it, on=on: _picked(it, large, on), beside.schema) for on in (False, True))
+    return tuple(beside.mapInArrow(lambda it, on=on: _with_bit(it, large, 0, on), beside.schema) for on in (False, True))
 
 
 def _parts(beside: DataFrame, length: int) -> DataFrame:
@@ -325,75 +399,139 @@ def _parts(beside: DataFrame, length: int) -> DataFrame:
     return few.unionAll(again.mapInArrow(_runs, runs)).distinct()
 
 
-def _spans(docs: DataFrame, length: int, n_batches: int) -> DataFrame:
-    """(id, th, spans) of the documents (id, text, th) that have repeats."""
-    spark = docs.sparkSession
-    kind = docs.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), *T._parse_datatype_string("th long, batch int, seed long, reach long, place long, first long, last long").fields])
-    arrow = arrow_schema(spark, schema)
-    every = staged(docs.select("id", "text", "th").mapInArrow(lambda it: _anchor_rows(it, length, n_batches, arrow), schema), "suffix-anchors")
-    index = SuffixIndex(spark)
-    met = None
-    for b in range(n_batches):
-        found = index.add(every.where(F.col("batch") == b))
-        met = found if met is None else met.unionAll(found)
+def _bytes_of(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
+    """The bytes of anchors (id, th, place, first, last, seed, reach), from the documents that hold them."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(anchors, "th"))
+    spot = ["place", "first", "last", "seed", "reach"]
+    holders = docs.select("id", "th", "text").mapInArrow(lambda it: _with_bit(it, bits, 1, True), docs.select("id", "th", "text").schema)
+    rows = holders.select("id", "th", "text", *(F.lit(None).cast("long").alias(c) for c in spot)).unionAll(anchors.select("id", "th", F.lit(None).cast("string").alias("text"), *spot))
+    rows = rows.repartition("id", "th").sortWithinPartitions("id", "th", F.col("text").isNull())
+    return rows.select("text", *spot).mapInArrow(lambda it: _reaches(it, length), _BESIDE)
+
+
+def _spans(docs: DataFrame, every: DataFrame, met: DataFrame, length: int) -> DataFrame:
+    """(id, th, spans) of the documents (id, text, th) that have repeats; every anchor, and the matches of the index."""
     # tables of their own, so that a join on a seed or reach with very many anchors can be split
-    met = staged(met.distinct(), "suffix-seeds")
-    at = staged(every.drop("batch").join(met.hint("merge"), "seed", "left_semi"), "suffix-matches")
-    reaches = at.groupBy("seed", "reach").agg(F.count("*").alias("n"))
-    seeds = at.groupBy("seed").agg(F.min("reach").alias("a"), F.max("reach").alias("b")).where("a <> b").select("seed")
-    wanted = spark.sparkContext.broadcast(bitmap(seeds, "seed"))
-    beside = docs.select("text").mapInArrow(lambda it: _reaches(it, length, wanted), "key long, seed long, reach long, right boolean, before long, bytes binary")
-    parts = staged(_parts(staged(beside, "suffix-beside"), length), "suffix-parts")
+    met = staged(met.groupBy("seed").agg(F.max("mixed").alias("mixed")), "suffix-seeds")
+    at = staged(every.join(met.hint("merge"), "seed"), "suffix-matches")
+    one = F.min(F.struct("id", "th", "place", "first", "last")).alias("one")
+    reaches = staged(at.groupBy("seed", "reach").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), one), "suffix-reaches")
+    differing = staged(reaches.where("mixed").select("one.*", "seed", "reach"), "suffix-differing")
+    parts = staged(_parts(staged(_bytes_of(docs, differing, length), "suffix-beside"), length), "suffix-parts")
     whole = staged(reaches.where("n > 1").select("seed", "reach"), "suffix-whole")
     of_whole = at.join(whole.hint("merge"), ["seed", "reach"], "left_semi").select("id", "th", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    of_parts = at.join(parts.hint("merge"), ["seed", "reach"]).select("id", "th", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + length).alias("b"))
-    spans = of_whole.unionAll(of_parts).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
-    return staged(spans, "suffix-spans")
+    of_parts = at.where("mixed").join(parts.hint("merge"), ["seed", "reach"]).select("id", "th", (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + length).alias("b"))
+    return of_whole.unionAll(of_parts).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", n_batches: int = BATCHES) -> DataFrame:
-    """docs with kept_bytes (binary), n_bytes, n_removed, n_spans, and without the text column."""
+# -- passages -----------------------------------------------------------------
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows text, own in; (name, own) out: the smallest run of GRAM words in each PASSAGE words of a text."""
+    width = PASSAGE - GRAM + 1
+    for batch in batches:
+        for rows, data, offs in kernels.blocks(batch, "text", PIECE):
+            starts, ends, first = kernels.words(data, offs)
+            grams, at = kernels.windows(kernels.span_hashes(data, starts, ends), first, GRAM)
+            text = np.repeat(np.arange(len(offs) - 1), np.maximum(0, np.diff(at) - width + 1))
+            if not len(text):
+                continue
+            places = np.arange(len(text)) - np.searchsorted(text, text) + at[:-1][text]
+            least = _least(grams, width)[places]
+            new = np.ones(len(least), bool)
+            new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(kernels.signed(least[new])), rows.column(1).take(pa.array(text[new]))], ["name", "own"])
+
+
+def _sharing(docs: DataFrame) -> DataFrame:
+    """own, of the documents (text, own) that share a passage with another."""
+    names = staged(docs.select("text", "own").mapInArrow(_names, "name long, own long"), "suffix-names")
+    met = staged(names.groupBy("name").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("name"), "suffix-passages")
+    return names.join(met.hint("merge"), "name", "left_semi").select("own").distinct()
+
+
+# -- results ------------------------------------------------------------------
+
+
+def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
+    own = F.coalesce(text, F.lit(""))
+    return docs.select(F.col(key).alias("id"), own.alias("text"), F.xxhash64(own).alias("th"))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The last two columns, text and spans, become the bytes kept, and the numbers of bytes and runs removed."""
+    for batch in batches:
+        kept, removed, count = [], [], []
+        for t, found in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
+            raw, end, pieces, gone, runs = t.as_py().encode(), 0, [], 0, 0
+            for span in found.as_py() or ():
+                a, b = span["a"], span["b"]
+                if a > end or not runs:
+                    pieces.append(raw[end:a])
+                    runs += 1
+                    end = a
+                if b > end:
+                    gone += b - end
+                    end = b
+            pieces.append(raw[end:])
+            kept.append(b"".join(pieces))
+            removed.append(gone)
+            count.append(runs)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], schema=schema)
+
+
+def _result(docs: DataFrame, spans: DataFrame, sharing: DataFrame, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
-    docs = without(docs, "kept_bytes", "n_bytes", "n_removed", "n_spans", "__th", "__spans")
+    docs = without(docs, "kept_bytes", "n_bytes", "n_removed", "n_spans", "has_repeats")
     rest = [c for c in docs.columns if c != text]
-    slim = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
-    spans = _spans(slim, length, n_batches)
-    have = spark.sparkContext.broadcast(bitmap(spans, "th"))
-    full = docs.select(*rest, F.coalesce(text, F.lit("")).alias(text), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__th"))
-    arrow = arrow_schema(spark, full.schema)
-
-    def pick(batches: Iterator[pa.RecordBatch], on: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = in_bitmap(have.value, batch.column(batch.num_columns - 1).to_numpy())
-            yield pa.RecordBatch.from_arrays(batch.columns, schema=arrow).filter(pa.array(some == on))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, removed, count = [], [], []
-            for t, found in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
-                raw, end, pieces, gone, runs = t.as_py().encode(), 0, [], 0, 0
-                for span in found.as_py() or ():
-                    a, b = span["a"], span["b"]
-                    if a > end or not runs:
-                        pieces.append(raw[end:a])
-                        runs += 1
-                        end = a
-                    if b > end:
-                        gone += b - end
-                        end = b
-                pieces.append(raw[end:])
-                kept.append(b"".join(pieces))
-                removed.append(gone)
-                count.append(runs)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], schema=out_arrow)
-
-    clean = full.mapInArrow(lambda it: pick(it, False), full.schema)
-    clean = clean.select(*rest, F.encode(text, "utf-8").alias("kept_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.octet_length(text).cast("long").alias("n_bytes"))
-    touched = full.mapInArrow(lambda it: pick(it, True), full.schema)
-    found = spans.select(F.col("id").alias("__id"), F.col("th").alias("__h"), F.col("spans").alias("__spans"))
-    touched = touched.join(found.hint("merge"), touched[key].eqNullSafe(F.col("__id")) & (touched["__th"] == F.col("__h")), "left").select(*rest, F.octet_length(text).cast("long").alias("n_bytes"), text, "__spans")
-    out_schema = T.StructType([*(touched.schema[c] for c in [*rest, "n_bytes"]), T.StructField("kept_bytes", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
-    out_arrow = arrow_schema(spark, out_schema)
-    touched = touched.mapInArrow(cut, out_schema)
-    return clean.unionByName(touched)
+    own = F.coalesce(text, F.lit(""))
+    # id, hash and whether a passage is shared of the documents that have anything; the others aren't shuffled
+    shared = _slim(docs, key, text).select("id", "th", F.xxhash64("id", "th").alias("own")).join(sharing.hint("merge"), "own", "left_semi").select("id", "th").distinct()
+    found = spans.select("id", "th", "spans", F.lit(False).alias("shares")).unionAll(shared.select("id", "th", F.lit(None).cast(spans.schema["spans"].dataType), F.lit(True)))
+    found = staged(found.groupBy("id", "th").agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("shares").alias("shares")), "suffix-spans")
+    have = spark.sparkContext.broadcast(bitmap(found, "th"))
+    th, i, h, s, r = (unused(docs, n) for n in ("th", "i", "h", "s", "r"))
+    full = docs.select(*rest, own.alias(text), F.xxhash64(own).alias(th))
+    place = len(full.columns) - 1
+    clean, touched = (full.mapInArrow(lambda it, on=on: _with_bit(it, have, place, on), full.schema) for on in (False, True))
+    n_bytes = F.octet_length(text).cast("long").alias("n_bytes")
+    zero = lambda n: F.lit(0).cast("long").alias(n)
+    clean = clean.select(*rest, n_bytes, F.lit(False).alias("has_repeats"), F.encode(text, "utf-8").alias("kept_bytes"), zero("n_removed"), zero("n_spans"))
+    found = found.select(F.col("id").alias(i), F.col("th").alias(h), F.col("spans").alias(s), F.col("shares").alias(r))
+    touched = touched.join(found.hint("merge"), touched[key].eqNullSafe(F.col(i)) & (touched[th] == F.col(h)), "left")
+    touched = touched.select(*rest, n_bytes, F.coalesce(r, F.lit(False)).alias("has_repeats"), text, s)
+    schema = T.StructType([*touched.schema.fields[:-2], T.StructField("kept_bytes", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
+    arrow = arrow_schema(spark, schema)
+    return clean.unionByName(touched.mapInArrow(lambda it: _cut(it, arrow), schema))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", n_batches: int = BATCHES) -> DataFrame:
+    """docs with kept_bytes (binary), n_bytes, n_removed, n_spans and has_repeats, and without the text column."""
+    spark = docs.sparkSession
+    slim = _slim(docs, key, text)
+    every = anchor_table(slim, length)
+    files = sorted(every.inputFiles())
+    n_batches = max(n_batches, -(-len(files) // BATCH_FILES))
+    index, met = SuffixIndex(spark), None
+    for b in range(n_batches):
+        if own := files[b::n_batches]:
+            found = index.add(spark.read.schema(every.schema).parquet(*own))
+            met = found if met is None else met.unionAll(found)
+    if met is None:
+        met = spark.createDataFrame([], "seed long, mixed boolean")
+    sharing = _sharing(slim.select("text", F.xxhash64("id", "th").alias("own")))
+    return _result(docs, _spans(slim, every, met, length), sharing, key, text)
+
+
+def add_documents(index: SuffixIndex, docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A later batch: it is added to an index in a folder, and comes back without what is in earlier batches or twice in itself, as from `remove_repeats`."""
+    slim = _slim(docs, key, text)
+    index.texts.append(index.put(slim, "texts"))
+    batch = index.put(anchor_table(index.table(index.texts[-1]), length), "anchors")
+    index.anchors.append(batch)
+    met = index.add(index.table(batch))
+    index.save()
+    every, texts = index.table(*index.anchors), index.table(*index.texts)
+    sharing = _sharing(texts.select("text", F.xxhash64("id", "th").alias("own")))
+    return _result(docs, _spans(texts, every, met, length), sharing, key, text)

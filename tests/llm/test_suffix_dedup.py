@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kvlog.llm import suffix_dedup
@@ -81,10 +82,69 @@ def test_levels_grow_geometrically(spark):
     index = suffix_dedup.SuffixIndex(spark)
     met = []
     for i in range(5):
-        batch = spark.createDataFrame([(k, k * 10 + i) for k in (i, i + 1)], "seed long, reach long")
-        met.append(sorted(r["seed"] for r in index.add(batch).collect()))
+        batch = spark.createDataFrame([(k, k * 10 + i * (k == 2)) for k in (i, i + 1)], "seed long, reach long")
+        met.append(sorted((r["seed"], r["mixed"]) for r in index.add(batch).collect()))
     assert [size for size, _ in index.levels] == [4, 1]
-    assert met == [[], [1], [2], [3], [4]] or all(i in m for i, m in enumerate(met) if i)
+    assert met == [[], [(1, False)], [(2, True)], [(3, False)], [(4, False)]]
+
+
+def test_runs_that_tasks_part():
+    """Entries in order, dealt over tasks at every place: the rows put together say which seeds met."""
+    r = random.Random(8)
+    entries = sorted({(s, r.randrange(50)): (r.randrange(1, 3), r.randrange(2)) for s in [*range(12), 5, 5, 5] for _ in range(r.randrange(1, 3))}.items())
+    rows = [(s, reach, n, new) for (s, reach), (n, new) in entries]
+    wanted = {}
+    for s, reach, n, new in rows:
+        have = wanted.setdefault(s, [0, 0, set()])
+        have[0], have[1] = have[0] + n, max(have[1], new)
+        have[2].add(reach)
+    wanted = {(s, len(reaches) > 1) for s, (n, new, reaches) in wanted.items() if n > 1 and new}
+    for tasks in range(1, len(rows) + 1):
+        for size in (1, 3, 100):
+            out = []
+            for t in range(tasks):
+                own = rows[t * len(rows) // tasks : (t + 1) * len(rows) // tasks]
+                batches = [pa.RecordBatch.from_arrays([pa.array([x[c] for x in own[i : i + size]], pa.int64()) for c in range(4)], ["seed", "reach", "n", "new"]) for i in range(0, len(own), size)]
+                out += [x for b in suffix_dedup._runs_of(iter(batches)) for x in b.to_pylist()]
+            by = {}
+            for x in out:
+                have = by.setdefault(x["seed"], [0, 0, x["least"], x["most"]])
+                have[:] = have[0] + x["n"], max(have[1], x["new"]), min(have[2], x["least"]), max(have[3], x["most"])
+            assert {(s, a != b) for s, (n, new, a, b) in by.items() if n > 1 and new} == wanted
+
+
+def test_later_batches(spark, tmp_path):
+    """Documents added to an index that is opened again lose what earlier batches hold."""
+    docs = corpus(9)
+    batches = [docs[:12], docs[12:25], docs[25:]]
+    for k, batch in enumerate(batches):
+        index = suffix_dedup.SuffixIndex(spark, f"file://{tmp_path}/index")
+        assert [size for size, _ in index.levels] == [[], [1], [2]][k]
+        df = spark.createDataFrame(batch, "doc_id long, text string").repartition(2)
+        got = suffix_dedup.add_documents(index, df)
+        upto = [d for b in batches[: k + 1] for d in b]
+        wanted = [x for x in brute(upto, 400) if x[0] in {d for d, _ in batch}]
+        mine = sorted(((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept_bytes"])) for x in got.collect()), key=repr)
+        assert [x for x in mine if x[0] != 12] == [x for x in wanted if x[0] != 12]  # 12 is an id of two batches
+
+
+def test_passages_of_words(spark):
+    """51 words in a row in another document, whatever their length; fewer than 32 are none, nor is a row repeated in full."""
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randrange(1, 7)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    docs, wanted = [], {}
+    for n in (51, 52, 70, 300, 31, 20):
+        passage = some(n)
+        for _ in range(2):
+            wanted[len(docs)] = n > 50
+            docs.append((len(docs), f"{some(r.randrange(90))}\n{passage}\n{some(r.randrange(90))}"))
+    docs += [(100, some(200)), (101, None), (102, "")]
+    docs += [docs[-3]]
+    wanted |= {100: False, 101: False, 102: False}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(df, 400).collect()
+    assert len(got) == len(docs) and {x["doc_id"]: x["has_repeats"] for x in got} == wanted
 
 
 def test_least_of_windows():
