@@ -58,7 +58,7 @@ def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i in 0..n."""
     have = _POWERS.get(seed)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, BLOCK + 1)
+        size = 1 << max(16, n.bit_length())
         base = _BASE[seed]
         pair = []
         for b in (base, pow(base, -1, 1 << 64)):

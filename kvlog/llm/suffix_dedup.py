@@ -72,7 +72,7 @@ PIECE = 1 << 18
 #: Words that make a passage, and those of a name.
 PASSAGE, GRAM = 51, 32
 #: Windows whose hashes are held at once while reaches are compared.
-WINDOWS = 1 << 21
+WINDOWS = 1 << 18
 #: Rows of reaches that are compared in one task, with their bytes.
 GROUP = 512
 _PLACE_BITS = 22
