@@ -187,7 +187,7 @@ def _groups(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[i
         yield [(r["item"], r["text"]) for r in part.toLocalIterator()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", chars_per_edit: int = CHARS_PER_EDIT, min_item: int = MIN_ITEM) -> DataFrame:
     """One row for each document and item that occurs in it: key, item, distance, start, end."""
     spark = docs.sparkSession
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item, benchmark.schema[item].dataType), *(T.StructField(n, T.IntegerType()) for n in ("distance", "start", "end"))])
@@ -197,7 +197,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         sent = spark.sparkContext.broadcast(items)
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, chars_per_edit)
+            matcher = Matcher(sent.value, chars_per_edit, min_item)
             for batch in batches:
                 rows, hits = [], []
                 for i, t in enumerate(batch.column(1)):
@@ -212,7 +212,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", chars_per_edit: int = CHARS_PER_EDIT, min_item: int = MIN_ITEM) -> DataFrame:
     """docs without the documents that hold a benchmark item; filtered where they are read, nothing is shuffled."""
     spark = docs.sparkSession
     at = docs.columns.index(text)
@@ -221,7 +221,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         sent = spark.sparkContext.broadcast(items)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, chars_per_edit)
+            matcher = Matcher(sent.value, chars_per_edit, min_item)
             for batch in batches:
                 keep = pa.array([not matcher.matches(t.as_py()) for t in batch.column(at)], pa.bool_())
                 yield pa.RecordBatch.from_arrays(batch.columns, schema=arrow).filter(keep)

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document is the set of its distinct word shingles (64-bit hashes). Documents
-with one and the same set are one node; nodes whose sets reach the Jaccard
+with one and the same set (named by 64 bits that are held against 64 more) are one node; nodes whose sets reach the Jaccard
 threshold are linked, and what comes back is each document's component.
 
 Tokens are ordered rare to frequent. In a set of s tokens that shares enough with
@@ -12,6 +12,7 @@ would make long lists; they are dealt by hash into small groups and indexed as
 pairs within a group, and the prefix is extended by one token for each group it
 touches, since a group of n tokens loses its last common pair only after n - 1
 misses. Two sets that reach the threshold thus share a signature, always.
+Sets so small that no other set can reach the threshold with them aren't indexed.
 Signatures carry the size level (powers of two) of the larger set; a set near a
 level's end is indexed under both, so tau and the groups agree on both sides.
 
@@ -60,8 +61,8 @@ LIST = 4096
 PAIRS = 1 << 16
 #: How much wider the bitmaps of the second pass are (up to 65,536 bits).
 WIDER = 8
-#: Levels (bit lengths of the size) from which frequent tokens are paired; smaller sets are indexed by single tokens.
-PAIRED_FROM = 5
+#: Levels (bit lengths of the size) from which frequent tokens are paired: a prefix of three tokens or fewer can't always be extended.
+PAIRED_FROM = 3
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -82,9 +83,22 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> Iterator[np.ndar
             yield np.zeros(0, U64)
 
 
-def set_hash(tokens: np.ndarray) -> int:
-    h = np.array([len(tokens)], U64) * U64(0x9E3779B97F4A7C15) + kernels.mix(tokens ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)
-    return int(kernels.mix(h).view(np.int64)[0])
+def _sum_hash(tokens: np.ndarray, salt: int) -> np.ndarray:
+    h = np.array([len(tokens)], U64) * U64(0x9E3779B97F4A7C15) + kernels.mix(tokens ^ U64(salt)).sum(dtype=U64)
+    return kernels.mix(h)
+
+
+def set_hash(tokens: np.ndarray, met: frozenset[int] = frozenset()) -> int:
+    """64 bits that stand for a set; for those in which different sets have met, others that take in the second half as well."""
+    h = _sum_hash(tokens, 0x5851F42D4C957F2D)
+    if met and int(h.view(np.int64)[0]) in met:
+        h = kernels.mix(h * U64(3) + _sum_hash(tokens, 0x2545F4914F6CDD1D))
+    return int(h.view(np.int64)[0])
+
+
+def second_half(tokens: np.ndarray) -> int:
+    """64 more bits, by which sets that meet in the first are told apart."""
+    return int(_sum_hash(tokens, 0x2545F4914F6CDD1D).view(np.int64)[0])
 
 
 def _slot(tokens: np.ndarray) -> np.ndarray:
@@ -200,10 +214,10 @@ def _parity(tokens: np.ndarray, bits: int) -> bytes:
 
 
 _ENTRY = pa.struct([("level", pa.int8()), ("bits", pa.binary()), ("signatures", pa.list_(pa.int64()))])
-_CARD = pa.schema([("row_id", pa.int64()), ("set", pa.int64()), ("n_shingles", pa.int64()), ("entries", pa.list_(_ENTRY))])
+_CARD = pa.schema([("row_id", pa.int64()), ("set", pa.int64()), ("more", pa.int64()), ("n_shingles", pa.int64()), ("entries", pa.list_(_ENTRY))])
 
 
-def _cards(batches: Iterator[pa.RecordBatch], text: str, n: int, percent: int, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _cards(batches: Iterator[pa.RecordBatch], text: str, n: int, percent: int, sketch: np.ndarray, met: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """One row a document; the entries of a set are left out where this task has just given them for an equal set."""
     frequent_from = _threshold(sketch)
     given: set[int] = set()
@@ -213,17 +227,18 @@ def _cards(batches: Iterator[pa.RecordBatch], text: str, n: int, percent: int, s
                 given = set()
             out = []
             for tokens in shingle_sets(data, offs, n):
-                size, key = len(tokens), set_hash(tokens)
+                size, key = len(tokens), set_hash(tokens, met)
+                more = second_half(tokens) if size else 0
                 entries = []
-                if size and key not in given:
+                if key not in given and 100 * size >= percent * (size + 1):
                     given.add(key)
                     counts = sketch[_slot(tokens)]
                     order = np.lexsort((tokens, counts))
                     tokens, counts = tokens[order], counts[order]
                     for level, tau in levels(size, percent):
                         entries.append({"level": level, "bits": parity(tokens, level), "signatures": signatures(tokens, counts, frequent_from, level, tau).view(np.int64)})
-                out.append((key, size, entries))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], _CARD.field("entries").type)], schema=pa.schema([rows.schema.field(0), *list(_CARD)[1:]]))
+                out.append((key, more, size, entries))
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([o[c] for o in out], pa.int64()) for c in range(3)), pa.array([o[3] for o in out], _CARD.field("entries").type)], schema=pa.schema([rows.schema.field(0), *list(_CARD)[1:]]))
 
 
 # -- lists --------------------------------------------------------------------
@@ -350,13 +365,13 @@ def _pairs(lists: DataFrame, percent: int, spanning: bool) -> DataFrame:
     return rows.mapInArrow(lambda it: _candidates(it, percent, spanning), "a long, b long").distinct()
 
 
-def _wide(batches: Iterator[pa.RecordBatch], text: str, n: int, percent: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+def _wide(batches: Iterator[pa.RecordBatch], text: str, n: int, percent: int, wanted: Broadcast, met: frozenset[int]) -> Iterator[pa.RecordBatch]:
     given: set[int] = set()
     for batch in batches:
         for _, data, offs in kernels.blocks(batch, text):
             rows = {}
             for tokens in shingle_sets(data, offs, n):
-                key = set_hash(tokens)
+                key = set_hash(tokens, met)
                 if len(tokens) and key not in given and in_bitmap(wanted.value, np.array([key]))[0]:
                     if len(given) > 1 << 20:
                         given = set()
@@ -367,17 +382,17 @@ def _wide(batches: Iterator[pa.RecordBatch], text: str, n: int, percent: int, wa
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.int32()), pa.array([*rows.values()], pa.binary())], ["set", "width", "wide"])
 
 
-def _widened(docs: DataFrame, text: str, n: int, percent: int, lists: DataFrame) -> DataFrame:
+def _widened(docs: DataFrame, text: str, n: int, percent: int, lists: DataFrame, met: frozenset[int]) -> DataFrame:
     """lists with wide, a wider bitmap of each set."""
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(lists, "set"))
-    wide = docs.select(text).mapInArrow(lambda it: _wide(it, text, n, percent, wanted), "set long, width int, wide binary").dropDuplicates(["set", "width"])
+    wide = docs.select(text).mapInArrow(lambda it: _wide(it, text, n, percent, wanted, met), "set long, width int, wide binary").dropDuplicates(["set", "width"])
     return lists.withColumn("width", F.octet_length("bits")).join(wide.hint("merge"), ["set", "width"])
 
 
 # -- verification -------------------------------------------------------------
 
 
-def _sets(batches: Iterator[pa.RecordBatch], text: str, n: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], text: str, n: int, wanted: Broadcast, met: frozenset[int]) -> Iterator[pa.RecordBatch]:
     given: set[int] = set()
     for batch in batches:
         for _, data, offs in kernels.blocks(batch, text):
@@ -385,7 +400,7 @@ def _sets(batches: Iterator[pa.RecordBatch], text: str, n: int, wanted: Broadcas
             for tokens in shingle_sets(data, offs, n):
                 if not len(tokens):
                     continue
-                key = set_hash(tokens)
+                key = set_hash(tokens, met)
                 if key not in given and in_bitmap(wanted.value, np.array([key]))[0]:
                     if len(given) > 1 << 20:
                         given = set()
@@ -395,12 +410,12 @@ def _sets(batches: Iterator[pa.RecordBatch], text: str, n: int, wanted: Broadcas
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
 
-def _verified(docs: DataFrame, text: str, n: int, percent: int, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, text: str, n: int, percent: int, pairs: DataFrame, met: frozenset[int]) -> DataFrame:
     """pairs with linked: whether the sets reach the threshold."""
     spark = docs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
     wanted = spark.sparkContext.broadcast(bitmap(nodes, "node"))
-    sets = docs.select(text).mapInArrow(lambda it: _sets(it, text, n, wanted), "node long, tokens binary").join(nodes.distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    sets = docs.select(text).mapInArrow(lambda it: _sets(it, text, n, wanted, met), "node long, tokens binary").join(nodes.distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     sets = staged(sets, "ngram-sets")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
@@ -417,6 +432,26 @@ def _verified(docs: DataFrame, text: str, n: int, percent: int, pairs: DataFrame
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean")
 
 
+#: Sets that may share their 64 bits with another; beyond it something is wrong, since n sets have n * n / 2**65 by chance.
+MOST_MET = 1 << 16
+
+
+def _card_table(docs: DataFrame, words: int, percent: int, sketch: Broadcast) -> tuple[DataFrame, frozenset[int]]:
+    """The cards of all documents, and the 64-bit names in which different sets met. Names are held against 64 more bits, and given anew where that was so."""
+    spark = docs.sparkSession
+    entry = "array<struct<level:tinyint,bits:binary,signatures:array<bigint>>>"
+    schema = T.StructType([T.StructField("row_id", docs.schema["row_id"].dataType), *T._parse_datatype_string(f"set long, more long, n_shingles long, entries {entry}").fields])
+    met: frozenset[int] = frozenset()
+    while True:
+        cards = staged(docs.mapInArrow(lambda it, met=met: _cards(it, "text", words, percent, sketch.value, met), schema), "ngram-cards")
+        shared = cards.where("n_shingles > 0").groupBy("set").agg(F.min("more").alias("a"), F.max("more").alias("b")).where("a <> b").select("set").limit(MOST_MET).collect()
+        if not shared:
+            return cards, met
+        if len(shared) == MOST_MET:
+            raise RuntimeError("too many sets share a name")
+        met |= {r["set"] for r in shared}
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the smallest key of a document's component) for each row of docs."""
     if not 50 <= percent <= 100:
@@ -424,11 +459,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("row_id"), F.col(text).alias("text"))
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, "text", words))
-    entry = "array<struct<level:tinyint,bits:binary,signatures:array<bigint>>>"
-    schema = T.StructType([T.StructField("row_id", docs.schema["row_id"].dataType), *T._parse_datatype_string(f"set long, n_shingles long, entries {entry}").fields])
-    cards = staged(docs.mapInArrow(lambda it: _cards(it, "text", words, percent, sketch.value), schema), "ngram-cards")
+    cards, met = _card_table(docs, words, percent, sketch)
     lists = staged(_lists(cards), "ngram-lists")
-    first = staged(_verified(docs, "text", words, percent, staged(_pairs(lists.withColumn("root", F.lit(0).cast("long")), percent, False), "ngram-pairs")), "ngram-verified")
+    first = staged(_verified(docs, "text", words, percent, staged(_pairs(lists.withColumn("root", F.lit(0).cast("long")), percent, False), "ngram-pairs"), met), "ngram-verified")
     linked = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(linked, "ngram-components")
     # the only pair of a list of two has been looked at; of the others, those that hold several components count
@@ -436,10 +469,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
     known = longer.join(roots.select(F.col("node").alias("set"), "root").hint("merge"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     mixed = known.groupBy("list", "part").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q").select("list", "part")
     known = staged(known.join(mixed.hint("merge"), ["list", "part"]), "ngram-mixed")
-    known = _widened(docs, "text", words, percent, known)
+    known = _widened(docs, "text", words, percent, known, met)
     rest = staged(_pairs(known, percent, True).join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
     if not rest.isEmpty():
-        more = _verified(docs, "text", words, percent, rest).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        more = _verified(docs, "text", words, percent, rest, met).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = components(linked.unionAll(more), "ngram-components")
     members = cards.where("n_shingles > 0").select("set", "row_id").groupBy("set").agg(F.min("row_id").alias("least"))
     members = members.join(staged(roots, "ngram-roots").select(F.col("node").alias("set"), "root").hint("merge"), "set", "left").withColumn("root", F.coalesce("root", "set"))

@@ -65,6 +65,57 @@ def test_components(spark, n, percent, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute(docs, n, percent)
 
 
+def test_prefixes_of_every_size_can_be_extended():
+    """Also where all tokens of a set are frequent and in one group; sets too small to have partners are given none."""
+    for percent in range(50, 101):
+        for size in range(1, 300):
+            tokens = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(1 << 20)
+            if 100 * size >= percent * (size + 1):
+                for level, tau in ngram_join.levels(size, percent):
+                    assert len(ngram_join.signatures(tokens, np.full(size, 9), 1.0, level, tau))
+
+
+def test_frequent_short_texts(spark, monkeypatch):
+    """Short texts that share most of their words with very many others, all of them frequent."""
+    monkeypatch.setattr(ngram_join, "_threshold", lambda sketch: 0.0)
+    r = random.Random(12)
+    base = [[f"w{i}" for i in range(k, k + 12)] for k in (0, 5, 40)]
+    docs = []
+    for i in range(150):
+        words = list(r.choice(base))[: r.randrange(2, 13)]
+        if r.random() < 0.5:
+            words[r.randrange(len(words))] = f"x{r.randrange(3)}"
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for n, percent in ((1, 75), (2, 60)):
+        assert sorted(tuple(x) for x in ngram_join.jaccard_components(df, n, percent).collect()) == brute(docs, n, percent)
+
+
+def test_sets_that_meet_in_their_name(monkeypatch):
+    """Names of four bits only: different sets meet, and are told apart by the other half."""
+    docs = [(i, f"a{i % 7} b c d{i % 5} e") for i in range(60)]
+    sum_hash = ngram_join._sum_hash
+
+    def short(tokens, salt):
+        h = sum_hash(tokens, salt)
+        return h & np.uint64(15) if salt == 0x5851F42D4C957F2D else h
+
+    monkeypatch.setattr(ngram_join, "_sum_hash", short)
+    sketch = np.zeros(1 << ngram_join.SLOT_BITS, np.int32)
+    rows = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], ["row_id", "text"])
+    met = frozenset()
+    for _ in range(20):
+        got = [x for b in ngram_join._cards(iter([rows]), "text", 2, 80, sketch, met) for x in b.to_pylist()]
+        by = {}
+        for x in got:
+            by.setdefault(x["set"], set()).add(x["more"])
+        new = {k for k, more in by.items() if len(more) > 1}
+        if not new:
+            break
+        met |= new
+    assert met and len(by) == len({(i % 7, i % 5) for i in range(60)})
+
+
 def test_long_lists_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LIST", 16)
     monkeypatch.setattr(ngram_join, "_threshold", lambda sketch: 8.0)
