@@ -1,11 +1,13 @@
 """PII, toxicity, decontamination and piece encoding."""
 
 import itertools
+import os
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kvlog.llm import decontamination, pieces, pii, toxicity
 
@@ -156,6 +158,17 @@ def test_chain_on_held_out_documents(spark):
     assert toxicity.classify(df.limit(0), lf).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_chain_on_held_out_labels(spark):
+    """A third of the labelled documents of sf0.1, which the chain hasn't seen."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    mine = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(3)) == 0
+    of = docs.select("doc_id", "text").join(labels.select("doc_id"), "doc_id")
+    out = toxicity.classify(of, labels.where(~mine)).join(labels.where(mine), "doc_id")
+    got = {r["toxic"]: (r["n"], r["found"]) for r in out.groupBy("toxic").agg(F.count("*").alias("n"), F.count_if("is_toxic").alias("found")).collect()}
+    assert got[1][1] >= 0.85 * got[1][0] and got[0][1] <= 0.02 * got[0][0]
+
+
 def edit_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
