@@ -1,10 +1,7 @@
-"""What the corpus operators need from the session: the shared folder and staged tables."""
+"""What the corpus operators have in common: columns, samples, bitmaps."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,31 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the setting is missing, a session on one machine gets a temporary folder,
-    noted in the session; on a cluster that is an error, as executors couldn't read it.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = f"file://{tempfile.mkdtemp(prefix='kvlog-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return top.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/kvlog/{what}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from kvlog.sources.storage import fresh_path  # noqa: F401
+from kvlog.sources.storage import stored as staged  # noqa: F401
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
