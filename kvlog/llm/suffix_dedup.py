@@ -36,7 +36,8 @@ true if they share ``PASSAGE`` words in a row, false if no ``GRAM`` (in between,
 choice of words falls). Runs of ``GRAM`` words are names here, of which the smallest of
 each ``PASSAGE`` words is indexed. A row repeated in full is no other document.
 
-Documents are told apart by id and hash of the text. Those without repeats are
+Reaches and windows are compared by two hashes of 64 bits, that of the seed and their
+own. Documents are told apart by id and hash of the text. Those without repeats are
 not shuffled; a bitmap of fixed size says which documents have any.
 
 Defined cases: null text has no bytes; texts shorter than ``length`` keep all;
@@ -394,8 +395,8 @@ def _parts(beside: DataFrame, length: int) -> DataFrame:
     few = few.repartition("key").sortWithinPartitions("key", "reach").mapInArrow(lambda it: _compare(it, length), runs)
     # tables of their own, so that the join on a window that very many reaches have can be split
     windows = staged(many.mapInArrow(lambda it: _spread(it, length), "window long, seed long, reach long, at long"), "suffix-windows")
-    twice = staged(windows.groupBy("window").agg(F.min("reach").alias("a"), F.max("reach").alias("b")).where("a <> b").select("window"), "suffix-twice")
-    again = windows.join(twice.hint("merge"), "window", "left_semi").groupBy("seed", "reach").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    twice = staged(windows.groupBy("seed", "window").agg(F.min("reach").alias("a"), F.max("reach").alias("b")).where("a <> b").select("seed", "window"), "suffix-twice")
+    again = windows.join(twice.hint("merge"), ["seed", "window"], "left_semi").groupBy("seed", "reach").agg(F.sort_array(F.collect_set("at")).alias("starts"))
     return few.unionAll(again.mapInArrow(_runs, runs)).distinct()
 
 
