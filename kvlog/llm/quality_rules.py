@@ -11,7 +11,7 @@ are judged as a whole by the band for their length.
 
 From 512 bytes on the lower limits are above base64 of that length (1.33 at most);
 in shorter texts ordinary words compress hardly better. A ratio grows with the length of
-a text, so bands are half an octave wide, and the upper limits lie 2 to 4 percent above
+a text, so bands are half an octave wide, and the upper limits lie 2 to 6 percent above
 the largest ratio of the texts of that length that labels call good (20,149 that pass the
 word rules, in four languages). That is tight enough to reject texts whose words carry
 trailing symbols, which no word rule notices. Corpora of another kind need their own
@@ -50,17 +50,17 @@ BANDS = (
     (1448, 1.55, 2.22),
     (2048, 1.6, 2.26),
     (2896, 1.65, 2.3),
-    (4096, 1.7, 2.36),
-    (5793, 1.75, 2.42),
-    (8192, 1.8, 2.47),
-    (11585, 1.8, 2.5),
-    (16384, 1.85, 2.56),
-    (32768, 1.85, 2.63),
-    (65536, 1.9, 2.75),
+    (4096, 1.7, 2.42),
+    (5793, 1.75, 2.48),
+    (8192, 1.8, 2.53),
+    (11585, 1.8, 2.56),
+    (16384, 1.85, 2.63),
+    (32768, 1.85, 2.7),
+    (65536, 1.9, 2.8),
     (262144, 1.9, 3.0),
 )
 #: Width of a chunk, smallest and largest ratio.
-CHUNK_BANDS = ((CHUNK, 1.7, 2.34), (SMALL_CHUNK, 1.45, 2.08))
+CHUNK_BANDS = ((CHUNK, 1.7, 2.4), (SMALL_CHUNK, 1.45, 2.08))
 SYMBOLS = b"#*$%&|<>"
 OUTPUT = (
     ("n_words", T.LongType()),
