@@ -69,7 +69,7 @@ SEED = 160
 BATCHES = 4
 BATCH_FILES = 4096
 #: Long texts are searched in pieces of this many bytes (and length - 1 more), short ones in blocks.
-PIECE = 1 << 18
+PIECE = 1 << 17
 #: Words that make a passage, and those of a name.
 PASSAGE, GRAM = 51, 32
 #: Windows whose hashes are held at once while reaches are compared.
