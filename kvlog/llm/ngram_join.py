@@ -25,7 +25,7 @@ differ by more than the threshold allows is out for certain. Within a list only
 minimum spanning forest of the other pairs is passed on, so a list of n near
 copies makes at most n - 1 pairs. These are verified on the sets themselves. Then
 lists that still hold several components pass on every pair that spans two and is
-not ruled out, by bitmaps of eight times the width, so that pairs just below the
+not ruled out, by bitmaps of four times the width, so that pairs just below the
 threshold mostly stay behind; they leave in batches of ``PAIRS``. After their verification no link between components is left. Lists
 beyond ``LIST`` sets are compared block by block, which bounds a task's memory.
 
@@ -60,7 +60,7 @@ LIST = 4096
 #: Pairs of a list that leave in one batch.
 PAIRS = 1 << 16
 #: How much wider the bitmaps of the second pass are (up to 65,536 bits).
-WIDER = 8
+WIDER = 4
 #: Levels (bit lengths of the size) from which frequent tokens are paired: a prefix of three tokens or fewer can't always be extended.
 PAIRED_FROM = 3
 
