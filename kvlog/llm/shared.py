@@ -61,9 +61,9 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """A bitmap with the bit of every key set (keys are longs that are evenly spread hashes)."""
     bit = keys.select(F.col(column).bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("at"))
     words = bit.groupBy(F.expr("at div 32").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, at % 32))").alias("b"))
+    found = words.toArrow()  # 2**19 rows at most
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for row in words.toLocalIterator():
-        out[row["w"]] = row["b"]
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().astype(np.uint32)
     return out
 
 
