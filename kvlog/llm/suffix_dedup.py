@@ -382,19 +382,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["seed", "reach", "lo", "hi"])
 
 
-def _by_size(beside: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The reaches of keys with up to GROUP rows, and the others (with those that share a bit with them)."""
-    large = beside.sparkSession.sparkContext.broadcast(bitmap(beside.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "key"))
-    return tuple(beside.mapInArrow(lambda it, on=on: _with_bit(it, large, 0, on), beside.schema) for on in (False, True))
+def _large(beside: DataFrame) -> Broadcast:
+    """A bitmap of the keys with more than GROUP rows (and of those that share a bit with them)."""
+    return beside.sparkSession.sparkContext.broadcast(bitmap(beside.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "key"))
 
 
 def _parts(beside: DataFrame, length: int) -> DataFrame:
     """(seed, reach, lo, hi): runs of window starts that another reach has."""
     runs = "seed long, reach long, lo long, hi long"
-    few, many = _by_size(beside)
+    large = _large(beside)
+    few = beside.mapInArrow(lambda it: _with_bit(it, large, 0, False), beside.schema)
     few = few.repartition("key").sortWithinPartitions("key", "reach").mapInArrow(lambda it: _compare(it, length), runs)
     # tables of their own, so that the join on a window that very many reaches have can be split
-    windows = staged(many.mapInArrow(lambda it: _spread(it, length), "window long, seed long, reach long, at long"), "suffix-windows")
+    windows = staged(beside.mapInArrow(lambda it: _spread(_with_bit(it, large, 0, True), length), "window long, seed long, reach long, at long"), "suffix-windows")
     twice = staged(windows.groupBy("seed", "window").agg(F.min("reach").alias("a"), F.max("reach").alias("b")).where("a <> b").select("seed", "window"), "suffix-twice")
     again = windows.join(twice.hint("merge"), ["seed", "window"], "left_semi").groupBy("seed", "reach").agg(F.sort_array(F.collect_set("at")).alias("starts"))
     return few.unionAll(again.mapInArrow(_runs, runs)).distinct()

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from kvlog.llm import suffix_dedup
+from kvlog.llm.shared import in_bitmap
 
 
 def brute(docs, length):
@@ -59,14 +60,16 @@ def test_long_texts_in_pieces(spark, monkeypatch):
 def test_many_reaches_beside_one_passage(spark, monkeypatch):
     """Where very many documents leave a shared passage in their own ways, no group of bytes beyond GROUP meets in one task."""
     monkeypatch.setattr(suffix_dedup, "GROUP", 8)
-    sizes, by_size = [], suffix_dedup._by_size
+    sizes, large_of = [], suffix_dedup._large
 
     def spy(beside):
-        few, many = by_size(beside)
-        sizes.append((max((r["count"] for r in few.groupBy("key").count().collect()), default=0), many.count()))
-        return few, many
+        large = large_of(beside)
+        keys = np.array([r["key"] for r in beside.select("key").collect()], np.int64)
+        on = in_bitmap(large.value, keys)
+        sizes.append((max(collections.Counter(keys[~on].tolist()).values(), default=0), int(on.sum())))
+        return large
 
-    monkeypatch.setattr(suffix_dedup, "_by_size", spy)
+    monkeypatch.setattr(suffix_dedup, "_large", spy)
     r = random.Random(6)
     some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     passage, ways = some(900), [some(150) for _ in range(3)]
